@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, toxicity
+from . import exact_dedup, mixing, packing, simhash, toxicity
 from .common import read
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(read(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op8_packing, op9_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op8_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
