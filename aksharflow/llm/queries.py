@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, langid, lm, mixing, packing, quality, simhash, toxicity
 from .common import read
 
 
@@ -16,6 +16,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -28,5 +40,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op8_packing, op9_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op4_quality, op5_lm_scoring, op6_language_id, op8_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
