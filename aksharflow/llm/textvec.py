@@ -78,12 +78,17 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.searchsorted(offs, starts, side="right") - 1, starts, stops
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial over the ring of 64-bit integers, mixed."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: list[np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of the bytes from ``starts`` to each of ``stops``: a polynomial over the ring of 64-bit integers, mixed."""
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_R, len(data)), out=total[1:])
-    return splitmix((total[stops] - total[starts]) * _power(_RINV, len(data) + 1)[starts])
+    before, back = total[starts], _power(_RINV, len(data) + 1)[starts]
+    return [splitmix((total[stop] - before) * back) for stop in stops]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    return span_hashes(data, starts, [stops])[0]
 
 
 def hash_word(word: str) -> int:

@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .textvec import chunks, word_hashes, words
+from .textvec import chunks, span_hashes, words
 
 #: Labelled rows of each class that serve as examples.
 EXAMPLES_PER_CLASS = 2000
 #: Words enter the vocabulary by chi-square of their presence against the label, and by how many examples hold them.
 MIN_CHI2 = 30.0
 MIN_EXAMPLES = 8
+#: Besides whole words, the first so many bytes of longer words are terms, for stems with many endings.
+STEMS = (4, 5, 6, 7)
+#: Weight of a term that every text has: the fewer the words of the vocabulary, the more it counts in the cosine.
+BACKGROUND = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.5
@@ -26,7 +30,7 @@ SCHEMA = "doc_id bigint, score double, toxic boolean, votes double, words int, n
 
 @dataclass
 class Index:
-    """Examples in order of their ids, cut into blocks; ``weights`` (examples x words) has unit rows, ``most`` (words x blocks) the largest weight in each block."""
+    """Examples in order of their ids, cut into blocks; ``weights`` (examples x terms, the background last) has unit rows, ``most`` (terms x blocks) the largest weight in each block."""
 
     vocabulary: np.ndarray  # sorted hashes
     idf: np.ndarray
@@ -40,10 +44,11 @@ class Index:
 
     def __post_init__(self) -> None:
         n = -(-len(self.ids) // BLOCK)
-        padded = np.zeros((n * BLOCK, len(self.vocabulary)), np.float32)
+        width = len(self.vocabulary) + 1
+        padded = np.zeros((n * BLOCK, width), np.float32)
         padded[: len(self.ids)] = self.weights
         self.blocks = padded.reshape(n, BLOCK, -1)
-        self.most = np.ascontiguousarray(self.blocks.max(axis=1).T) if n else np.zeros((len(self.vocabulary), 0), np.float32)
+        self.most = np.ascontiguousarray(self.blocks.max(axis=1).T) if n else np.zeros((width, 0), np.float32)
 
     def search(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines), best first, -1 where there are fewer than k with a cosine above 0.
@@ -87,12 +92,26 @@ class Index:
         return np.where(np.isnan(votes), self.none, 1 / (1 + np.exp(-np.clip(self.slope * np.nan_to_num(votes) + self.shift, -30, 30))))
 
 
-def _counts(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """(rows x words): how often each word of the vocabulary occurs."""
+def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word and of each longer word's stems."""
     row, first, stop = words(data, offs)
+    if not len(row):
+        return row, np.zeros(0, np.uint64)
+    size = stop - first
+    hashes = span_hashes(data, first, [stop, *(np.minimum(first + k, stop) for k in STEMS)])
+    longer = [size > k for k in STEMS]
+    return np.concatenate([row, *(row[at] for at in longer)]), np.concatenate([hashes[0], *(h[at] for h, at in zip(hashes[1:], longer))])
+
+
+def _counts(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """(rows x terms): how often each term of the vocabulary occurs."""
     out = np.zeros((len(offs) - 1, len(vocabulary)), np.float32)
+    row, h = _terms(data, offs)
     if len(row) and len(vocabulary):
-        h = word_hashes(data, first, stop)
+        low = np.zeros(1 << 16, bool)
+        low[vocabulary & np.uint64(0xFFFF)] = True
+        maybe = np.flatnonzero(low[h & np.uint64(0xFFFF)])
+        row, h = row[maybe], h[maybe]
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         hit = vocabulary[at] == h
         np.add.at(out, (row[hit], at[hit]), 1)
@@ -101,23 +120,55 @@ def _counts(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> np.nd
 
 def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
-    return (w / np.where(norm > 0, norm, 1)).astype(np.float32)
+    w = np.concatenate([w, np.full((len(w), 1), BACKGROUND)], axis=1)
+    return (w / np.sqrt((w * w).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+def _term_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each distinct term of each text."""
+    parts = [np.zeros((2, 0), np.uint64)]
+    for at, _, data, offs in chunks(pa.array(texts, pa.string())):
+        row, h = _terms(data, offs)
+        if len(row):
+            parts.append(np.unique(np.stack([(row + at).astype(np.uint64), h]), axis=1))
+    both = np.concatenate(parts, axis=1)
+    return both[0].astype(np.int64), both[1]
+
+
+def first_of_copies(texts: list[str], sketch: int = 16, share: float = 0.4) -> np.ndarray:
+    """Whether no earlier text has ``share`` of a text's smallest ``sketch`` word hashes (of words in at most a tenth of the texts).
+
+    Copies of one text would otherwise make all of its words look like signs of its label.
+    """
+    text, word = _term_sets(texts)
+    _, back, have = np.unique(word, return_inverse=True, return_counts=True)
+    rare = have[back] <= max(2, len(texts) // 10)
+    text, word = text[rare], word[rare]
+    first = np.ones(len(texts), bool)
+    holders: dict[int, list[int]] = {}
+    for i in range(len(texts)):
+        a, b = np.searchsorted(text, [i, i + 1])
+        own = word[a:b][:sketch].tolist()  # np.unique left them in ascending order
+        met: dict[int, int] = {}
+        for w in own:
+            for j in holders.get(w, ()):
+                met[j] = met.get(j, 0) + 1
+        if own and max(met.values(), default=0) >= share * len(own):
+            first[i] = False
+        else:
+            for w in own:
+                holders.setdefault(w, []).append(i)
+    return first
 
 
 def choose_words(texts: list[str], toxic: np.ndarray, min_chi2: float = MIN_CHI2, min_examples: int = MIN_EXAMPLES) -> np.ndarray:
     """Hashes of the words whose presence depends on the label, sorted."""
     if not texts:
         return np.zeros(0, np.uint64)
-    seen, label = [], []
-    for at, _, data, offs in chunks(pa.array(texts)):
-        row, first, stop = words(data, offs)
-        pair = np.unique(np.stack([row.astype(np.uint64), word_hashes(data, first, stop)]), axis=1) if len(row) else np.zeros((2, 0), np.uint64)
-        seen.append(pair[1])
-        label.append(toxic[at + pair[0].astype(np.int64)])
-    word, back = np.unique(np.concatenate(seen), return_inverse=True)
+    row, words_of = _term_sets(texts)
+    word, back = np.unique(words_of, return_inverse=True)
     have = np.bincount(back, minlength=len(word)).astype(float)
-    a = np.bincount(back, weights=np.concatenate(label), minlength=len(word))
+    a = np.bincount(back, weights=toxic[row], minlength=len(word))
     n, t = len(texts), float(toxic.sum())
     b, c = have - a, t - a
     d = n - t - b
@@ -149,6 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
     rows = docs.select("doc_id", F.lower(text_of(docs)).alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     texts, ids = [r["t"] for r in rows], np.array([r["doc_id"] for r in rows], np.int64)
     toxic = np.array([r["toxic"] for r in rows], np.float64)
+    if texts:
+        first = first_of_copies(texts)
+        texts, ids, toxic = [t for t, ok in zip(texts, first) if ok], ids[first], toxic[first]
     vocabulary = choose_words(texts, toxic)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_C
     The ``k`` examples nearest by exact TF-IDF cosine vote, each with the inverse of its distance; ``score`` is the
     vote calibrated on the examples themselves (each scored without itself), ``toxic`` whether it reaches
     ``threshold``. neighbours and cosines are the evidence, best first; ``words`` counts occurrences of the vocabulary,
-    which holds the words whose presence depends on the label. A text without any of these (null and empty ones too)
+    which holds the words and stems whose presence depends on the label. A text without any of these (null and empty ones too)
     has no neighbours, null votes and the toxic share of such examples as its score. Equal cosines rank by doc_id.
     Labels: rows with a null are ignored, and a doc_id labelled both ways counts as toxic. Without usable labels every
     score is 0. Only doc_id and text are read. Each row is scored by itself; repeated rows get equal scores.
