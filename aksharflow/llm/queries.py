@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, lm, mixing, packing, quality, simhash, toxicity
+from . import chat, embedding, exact_dedup, langid, lm, mixing, packing, quality, simhash, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(read(spark, sf_dir, "documents"))
 
 
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.prefix_trees(read(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -28,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op4_quality, op5_lm_scoring, op6_language_id, op8_packing, op9_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_chat_trees, op4_quality, op5_lm_scoring, op6_language_id, op7_embedding_dedup, op8_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
