@@ -31,10 +31,12 @@ def apply_fixes(df: DataFrame, text: str, fixes: DataFrame, by: list[str] = (),
         .agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("to", "reason")))).alias("_fixes"))
     )
     keyed = df.withColumn("_text", F.md5(F.col(text).cast("binary")))
-    match = keyed["_text"].eqNullSafe(maps["_text"])
-    for c in by:
-        match = match & keyed[c].eqNullSafe(maps[c])
-    joined = keyed.join(maps.select("_text", *by, "_fixes"), match, "left").select(*(keyed[c] for c in keyed.columns if c != "_text"), "_fixes")
+    # both sides come from ``df``: other names keep the join's columns apart
+    maps = maps.select(F.col("_text").alias("_digest"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_fixes")
+    match = F.col("_text") == F.col("_digest")
+    for i, c in enumerate(by):
+        match = match & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = keyed.join(maps, match, "left").drop("_text", "_digest", *(f"_by{i}" for i in range(len(by))))
     fix = lambda x: F.try_element_at("_fixes", x)
     pieces = F.regexp_extract_all(F.col(text), F.lit(P.PIECES), F.lit(0))
     rebuilt = F.array_join(F.transform(pieces, lambda x: F.coalesce(fix(x)["to"], x)), "")
