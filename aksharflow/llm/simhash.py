@@ -20,6 +20,7 @@ MAX_DISTANCE = 13
 MIN_SHARED = BYTES - MAX_DISTANCE
 _PAIRS = list(combinations(range(8), 2))
 _NONE = 255
+PART = 4096
 #: For each set of equal bytes within a half, the first pair of positions in it.
 _FIRST_PAIR = np.array([next((c for c, (i, j) in enumerate(_PAIRS) if m >> i & 1 and m >> j & 1), _NONE) for m in range(256)], np.uint8)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -43,12 +44,15 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         weight = np.round(16 * np.sqrt(times)).astype(np.int32)
         have = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         total = np.add.reduceat(weight, have)
-        for lo in range(0, len(have), 256):  # so many documents at a time stay small in memory
-            a, b = have[lo], have[lo + 256] if lo + 256 < len(have) else len(owner)
+        ends, lo = np.append(have[1:], len(owner)), 0
+        while lo < len(have):  # whole documents of about PART words at a time stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(ends, have[lo] + PART, side="right")))
+            a, b = have[lo], ends[hi - 1]
             bits = np.unpackbits(both[a:b].view(np.uint8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits * weight[a:b, None], have[lo : lo + 256] - a, axis=0)
-            ones = np.packbits(2 * sums > total[lo : lo + 256, None], axis=1, bitorder="little")
-            halves[at + owner[have[lo : lo + 256]]] = ones.view(np.uint64)
+            sums = np.add.reduceat(bits * weight[a:b, None], have[lo:hi] - a, axis=0)
+            ones = np.packbits(2 * sums > total[lo:hi, None], axis=1, bitorder="little")
+            halves[at + owner[have[lo:hi]]] = ones.view(np.uint64)
+            lo = hi
     return halves, count
 
 
