@@ -47,7 +47,7 @@ class Index:
         width = len(self.vocabulary) + 1
         padded = np.zeros((n * BLOCK, width), np.float32)
         padded[: len(self.ids)] = self.weights
-        self.blocks = padded.reshape(n, BLOCK, -1)
+        self.blocks = padded.reshape(n, BLOCK, width)
         self.most = np.ascontiguousarray(self.blocks.max(axis=1).T) if n else np.zeros((width, 0), np.float32)
 
     def search(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,0 +1,105 @@
+import itertools
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from aksharflow.llm import mixing, packing
+
+SCHEMA = "doc_id bigint, text string, source string"
+
+
+def sources(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 200))), "big" if i % 4 else "small") for i in range(600)]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def test_rates_meet_the_targets(spark):
+    rows, df = sources(spark)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    out = mixing.mixing_rates(df, {"big": 1, "small": 3}, budget=total).collect()
+    got = {s: sum(r["rate"] * r["tokens"] for r in out if r["source"] == s) for s in ("big", "small")}
+    assert got["big"] == pytest.approx(total / 4, rel=1e-4) and got["small"] == pytest.approx(total * 3 / 4, rel=1e-4)
+    # the tilt is exponential in the tokens: one multiplier a source
+    for s in ("big", "small"):
+        slopes = [math.log(r["rate"]) / r["tokens"] for r in out if r["source"] == s]
+        assert max(slopes) - min(slopes) < 1e-4
+    assert all(r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) for r in out)
+    copied = sum(r["copies"] * r["tokens"] for r in out)
+    assert copied == pytest.approx(total, rel=0.1)
+    mixed = mixing.mix(df, {"big": 1, "small": 3}, budget=total)
+    assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in out)
+
+
+def test_rates_minimise_the_divergence(spark):
+    """Brute force over two lengths: no other rates with the same tokens have a smaller sum of r log r - r."""
+    df = spark.createDataFrame([(0, "a", "s"), (1, "a b c", "s")], SCHEMA)
+    r = {x["tokens"]: x["rate"] for x in mixing.mixing_rates(df, {"s": 1}, budget=2.0).collect()}
+    cost = lambda a, b: a * math.log(a) - a + b * math.log(b) - b
+    best = min((cost(a, (2 - a) / 3), a) for a in np.linspace(0.01, 1.99, 4000))
+    assert r[1] == pytest.approx(best[1], abs=2e-3) and r[1] + 3 * r[3] == pytest.approx(2, abs=1e-4)
+
+
+def test_mixing_edges(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "x y", None), (3, "x y", None), (None, "x", "b"), (5, "q " * 50_000, "b")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("rate", F.lit("r")).withColumn("copies", F.lit(9))
+    out = mixing.mixing_rates(df, {"a": 1, mixing.NO_SOURCE: 1, "c": 5}, budget=4).collect()
+    by = {(r["doc_id"], r["tokens"]): (r["rate"], r["copies"]) for r in out}
+    assert by[1, 0] == by[2, 0] == (1.0, 1) and by[None, 1][0] == by[5, 50_000][0] == 0.0 and len(out) == 6
+    assert mixing.mix(df, {"a": 1}).columns == df.columns
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mixing.mixing_rates(empty).count() == 0 and mixing.mix(empty).count() == 0
+    assert sorted(r["doc_id"] for r in mixing.mix(df, {}).collect()) == [1, 2]
+
+
+def best_fill(counts, capacity):
+    """Brute force: the largest sum within the capacity that holds the largest length."""
+    lengths = [k for k, n in counts.items() for _ in range(n)]
+    top = max(lengths)
+    lengths.remove(top)
+    return max(top + sum(c) for n in range(len(lengths) + 1) for c in itertools.combinations(lengths, n) if top + sum(c) <= capacity)
+
+
+def test_fill_is_optimal():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        counts = {}
+        for k in rng.integers(1, 30, rng.integers(1, 10)):
+            counts[int(k)] = counts.get(int(k), 0) + 1
+        capacity = int(rng.integers(30, 70))
+        taken = packing.fill(dict(counts), capacity)
+        assert all(n <= counts[k] for k, n in taken.items())
+        assert sum(k * n for k, n in taken.items()) == best_fill(counts, capacity)
+
+
+def test_windows_use_each_piece_once():
+    counts = {7: 40, 13: 3, 29: 11, 64: 2}
+    used = {}
+    for taken, times in packing.windows(dict(counts), 64):
+        assert sum(k * n for k, n in taken.items()) <= 64
+        for k, n in taken.items():
+            used[k] = used.get(k, 0) + n * times
+    assert used == counts
+
+
+def test_pack(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 300)))) for i in range(200)] + [(7, "a b"), (7, "a b"), (None, "a b c"), (900, None), (901, ""), (902, "x " * 70_001)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("tokens", F.lit(1)).withColumn("shard", F.lit("s"))
+    out = packing.pack(df, 256, 60).toPandas()
+    for _, w in out.groupby("window_id"):
+        w = w.sort_values("slot")
+        assert w["length"].sum() + w["slack"].iloc[0] == 256 and w["slack"].nunique() == 1 and (w["slack"] >= 0).all()
+        assert w["offset"].tolist() == [0, *w["length"].cumsum().tolist()[:-1]] and w["slot"].tolist() == list(range(len(w)))
+    expected = {}
+    for i, t in rows:
+        n = len((t or "").split())
+        if n:
+            expected[i] = expected.get(i, 0) + n
+    got = out.assign(doc_id=out["doc_id"].astype(object).where(out["doc_id"].notna(), None)).groupby("doc_id", dropna=False)["length"].sum().to_dict()
+    assert {None if i is None or i != i else int(i): int(n) for i, n in got.items()} == expected
+    long = out[out["doc_id"] == 902].sort_values("start")
+    assert (long["start"] + long["length"]).tolist()[:-1] == long["start"].tolist()[1:]
+    assert packing.pack(df.limit(0)).count() == 0
