@@ -45,12 +45,60 @@ def glyph_regex(font: str) -> str:
     return "(?s)" + "|".join(re.escape(k) for k in keys) + f"|[^{starts}]+|."
 
 
-def _substitute(text: Column, font: str) -> Column:
+#: First of the private-use characters that stand for values in transit; texts that hold such take the plain way.
+_PRIVATE = 0xF0000
+
+
+@cache
+def _passes(font: str) -> tuple[str, dict[str, str], dict[str, str], list[tuple[str, str]], dict[str, str]]:
+    """What fast substitution needs: a regex of pieces, values of longer glyphs, single glyphs to characters in transit, (class in transit, what follows it), transit to first characters.
+
+    A value of several characters is its first one, in transit, followed by the rest; values with one rest share a class.
+    """
+    table = mapping(font)
+    longer = {k: v for k, v in table.items() if len(k) > 1}
+    single = {k: v for k, v in table.items() if len(k) == 1}
+    starts = "".join(re.escape(c) for c in sorted({k[0] for k in longer}))
+    regex = "(?s)" + "|".join(re.escape(k) for k in sorted(longer, key=lambda k: (-len(k), k))) + f"|[^{starts}]+|."
+    unsafe = set(single)
+    transit: dict[str, str] = {}
+
+    def carried(value: str) -> str:
+        if len(value) == 1:
+            return value
+        return transit.setdefault(value, chr(_PRIVATE + len(transit)))
+
+    # longer glyphs are replaced first: what of their values would be taken for a single glyph travels too
+    pieces = {k: v if not unsafe & set(v) else transit.setdefault(v, chr(_PRIVATE + len(transit))) for k, v in longer.items()}
+    singles = {k: carried(v) for k, v in single.items()}
+    rests: dict[str, list[str]] = {}
+    for value, mark in transit.items():
+        rests.setdefault(value[1:], []).append(mark)
+    classes = [("[" + "".join(marks) + "]", rest) for rest, marks in rests.items() if rest]
+    return regex, pieces, singles, classes, {mark: value[0] for value, mark in transit.items()}
+
+
+def _plain_substitute(text: Column, font: str) -> Column:
     table = F.create_map(*[F.lit(x) for pair in sorted(mapping(font).items()) for x in pair])
     pieces = F.regexp_extract_all(text, F.lit(glyph_regex(font)), F.lit(0))
     return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
+def _substitute(text: Column, font: str) -> Column:
+    """Longer glyphs by a map over pieces, single ones by translation of whole texts, so that no character is looked up in a long map."""
+    regex, pieces, singles, classes, firsts = _passes(font)
+    table = F.create_map(*[F.lit(x) for pair in sorted(pieces.items()) for x in pair])
+    longest = max(map(len, pieces))
+    out = F.array_join(
+        F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda x: F.when((F.length(x) > 1) & (F.length(x) <= longest), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), ""
+    )
+    out = F.translate(out, "".join(singles), "".join(singles.values()))
+    for marks, rest in classes:
+        out = F.regexp_replace(out, f"({marks})", "$1" + rest)
+    out = F.translate(out, "".join(firsts), "".join(firsts.values()))
+    return F.when(text.rlike("[\\x{F0000}-\\x{FFFFD}]"), _plain_substitute(text, font)).otherwise(out)
+
+
 def reorder_i(text: Column) -> Column:
     return F.regexp_replace(text, f"{P.I_SIGN}(\u0902?)({P.CLUSTER})", f"$2{P.I_SIGN}$1")
 

@@ -15,6 +15,8 @@ from .tokens import apply_fixes, distinct_tokens, tokens_of
 
 #: A word table of at most so many rows is broadcast; a larger one is joined by shuffling.
 MOST_BROADCAST = 1_000_000
+#: Up to so many words are a literal set in the expressions, looked up by hash without any join.
+MOST_LITERAL = 10_000
 MODES = ("none", "safe", "aggressive")
 
 
@@ -36,6 +38,7 @@ class Lexicon:
     context: DataFrame | None = None
     by: tuple[str, ...] = ()
     size: int | None = None
+    literal: frozenset[str] | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, words: set[str] | frozenset[str] | None = None, path: str | None = None) -> Lexicon:
@@ -45,7 +48,7 @@ class Lexicon:
         if path:
             table = table.unionByName(words_in_file(spark, path)).distinct()
             return cls(table, size=table.count())
-        return cls(table, size=len(words))
+        return cls(table, size=len(words), literal=frozenset(words) if len(words) <= MOST_LITERAL else None)
 
     def add(self, words: DataFrame) -> Lexicon:
         table = self.words.unionByName(words.select("word")).distinct()
@@ -60,8 +63,19 @@ class Lexicon:
     def general(self, *columns: Column) -> DataFrame:
         return self._broadcast(self.words.select(F.col("word"), *columns))
 
+    def contains(self, column: Column) -> Column:
+        """Whether a text is one of the literal words."""
+        return F.coalesce(column.isin(*sorted(self.literal)), F.lit(False)) if self.literal else F.lit(False)
+
+    @property
+    def closed(self) -> bool:
+        """Whether the literal words are all that count."""
+        return self.literal is not None and self.context is None
+
     def flag(self, tokens: DataFrame, column: str, out: str) -> DataFrame:
         """``tokens`` with whether ``column`` is a word here."""
+        if self.closed:
+            return tokens.withColumn(out, self.contains(F.col(column)))
         base = self._broadcast(self.words.select(F.col("word").alias(column), F.lit(True).alias("_general")))
         tokens = tokens.join(base, column, "left")
         hit = F.coalesce(F.col("_general"), F.lit(False))
@@ -114,12 +128,18 @@ def resolve_exact(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     t = lexicon.flag(tokens.withColumn("norm", normalize_token(F.col("token"))), "token", "known")
     t = lexicon.flag(t.withColumn("swap", swap_j(F.col("token"))), "swap", "swap_known")
     t = lexicon.flag(t.withColumn("plain", F.when(_any(F.col("token"), P.STRUCTURAL) & (F.col("norm") != F.col("token")), F.col("norm"))), "plain", "plain_known")
-    dropped = lexicon.flag(t.select(*by, "token", F.explode(without_i(F.col("token"))).alias("shorter")), "shorter", "ok").where("ok")
-    dropped = dropped.groupBy(*by, "token").agg(F.min("shorter").alias("shorter"), F.count_distinct("shorter").alias("n")).where("n = 1").drop("n")
-    # only the words, not the tokens, are grouped by normal form
-    normal = lexicon.candidates(t.select(*by, "token", "norm").where("norm <> ''"), ["norm"], normalize_token(F.col("word")).alias("norm"))
-    normal = normal.groupBy(*by, "token").agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1").drop("n")
-    t = t.join(dropped, [*by, "token"], "left").join(normal, [*by, "token"], "left")
+    if lexicon.closed:
+        t = t.withColumn("_shorter", F.filter(without_i(F.col("token")), lexicon.contains))
+        t = t.withColumn("shorter", F.when(F.size("_shorter") == 1, F.get("_shorter", F.lit(0))))
+        index = lexicon.words.groupBy(normalize_token(F.col("word")).alias("norm")).agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1 and norm <> ''").drop("n")
+        t = t.join(F.broadcast(index), "norm", "left")
+    else:
+        dropped = lexicon.flag(tokens.select(*by, "token", F.explode(without_i(F.col("token"))).alias("shorter")), "shorter", "ok").where("ok")
+        dropped = dropped.groupBy(*by, "token").agg(F.min("shorter").alias("shorter"), F.count_distinct("shorter").alias("n")).where("n = 1").drop("n")
+        normal = tokens.select(*by, "token", normalize_token(F.col("token")).alias("norm")).where("norm <> ''")
+        normal = lexicon.candidates(normal, ["norm"], normalize_token(F.col("word")).alias("norm"))
+        normal = normal.groupBy(*by, "token").agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1").drop("n")
+        t = t.join(dropped, [*by, "token"], "left").join(normal, [*by, "token"], "left")
     exact = F.coalesce(F.when(F.col("known"), F.col("token")), F.when(F.col("swap_known"), F.col("swap")), F.col("shorter"), F.when(F.col("plain_known"), F.col("plain")), F.col("same_norm"))
     return t.select(*by, "token", "norm", "known", exact.alias("exact"))
 
@@ -130,7 +150,6 @@ def resolve(tokens: DataFrame, lexicon: Lexicon, max_distance: int = 2, min_toke
     t = resolve_exact(tokens, lexicon)
     token, norm = F.col("token"), F.col("norm")
     t = t.withColumn("considered", (F.length(token) >= min_token_length) & ~F.col("known") & _any(token, P.CONSIDER))
-    fixed = t.where("exact is not null and exact <> token").select(*by, "token", F.col("exact").alias("to"), F.lit("exact").alias("reason"))
     open_ = t.where("considered and exact is null")
     size = F.length(norm)
     allowed = F.when(size <= 4, F.lit(min(max_distance, 1))).when(size <= 7, F.lit(min(max_distance, 2))).otherwise(F.lit(min(max_distance, 3)))
@@ -148,9 +167,11 @@ def resolve(tokens: DataFrame, lexicon: Lexicon, max_distance: int = 2, min_toke
     near = near.withColumn("score", F.struct("distance", penalty.alias("p"), F.abs(F.length(word) - F.length(token)).alias("l")))
     ranked = near.withColumn("rank", F.rank().over(Window.partitionBy(*by, "token").orderBy("score"))).where("rank = 1")
     best = ranked.groupBy(*by, "token").agg(F.min("word").alias("to"), F.count("*").alias("n")).where("n = 1").select(*by, "token", "to")
-    rest = open_.select(*by, "token").join(best, [*by, "token"], "left").withColumn("reason", F.when(F.col("to").isNotNull(), F.lit("fuzzy")))
-    same = t.where("considered and exact = token").select(*by, "token", F.lit(None).cast("string").alias("to"), F.lit(None).cast("string").alias("reason"))
-    return fixed.unionByName(rest).unionByName(same)
+    fixed = F.col("exact").isNotNull() & (F.col("exact") != token)
+    asked = t.where(fixed | F.col("considered")).join(best.withColumnRenamed("to", "guess"), [*by, "token"], "left")
+    to = F.when(fixed, F.col("exact")).otherwise(F.col("guess"))
+    reason = F.when(fixed, F.lit("exact")).when(F.col("guess").isNotNull(), F.lit("fuzzy"))
+    return asked.select(*by, "token", to.alias("to"), reason.alias("reason"))
 
 
 def correct(df: DataFrame, text: str, lexicon: Lexicon, max_distance: int = 2, min_token_length: int = 4, out: str = "corrected", stats: str = "stats") -> DataFrame:

@@ -119,3 +119,10 @@ def test_summary_branches(spark):
     assert [r["s"]["view"]["tone"] for r in out] == ["secondary", "secondary", "success", "info", "info", "info", "secondary"]
     assert [r["s"]["view"]["display_mode"] for r in out] == ["raw_only"] + ["comparison"] * 6
     assert out[2]["s"]["legacy_conversion_applied"] and out[3]["s"]["scrambled_cleanup_applied"]
+
+
+def test_fast_and_plain_substitution_agree(spark):
+    keys = sorted({k for f in ("krutidev", "chanakya") for k in glyphs.mapping(f)})
+    texts = ["".join(keys[(i * 7 + j * j) % len(keys)] for j in range(60)) for i in range(40)] + ["".join(keys), "a\U000f0000b vk", "line\nvk\r\nकvks", ""]
+    for font in ("krutidev", "chanakya"):
+        assert many(spark, texts, lambda c: glyphs._substitute(c, font)) == many(spark, texts, lambda c: glyphs._plain_substitute(c, font))
