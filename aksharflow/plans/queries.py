@@ -21,8 +21,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table; one of fewer files than cores, whose few row groups would leave cores idle, is spread over them."""
+    df = _read(spark, sf_dir, table).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return _spread(spark, sf_dir, "documents", "doc_id", "text", "lang")
 
 
 def _deva(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +37,11 @@ def _deva(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deva_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", glyphs.convert(F.col("text"), "krutidev").alias("text"))
+    return _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", glyphs.convert(F.col("text"), "krutidev").alias("text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), (F.col("turn") + 1).cast("int").alias("page_num"), F.col("text").alias("raw"))
+    return _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("path"), (F.col("turn") + 1).cast("int").alias("page_num"), F.col("text").alias("raw"))
 
 
 def detect_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

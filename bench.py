@@ -14,7 +14,7 @@ from aksharflow.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("detect_by_lang", "convert_krutidev", "post_process_legacy", "frequency_lexicon", "clean_none", "safe_correction", "quality_metrics", "batch_summary", "page_slice")
+HEADLINE = ("detect_by_lang", "convert_krutidev", "post_process_legacy", "frequency_lexicon", "clean_none", "quality_metrics", "batch_summary", "page_slice")
 LLM = ("op2_mixing", "op4_quality", "op6_language_id", "op8_packing", "op9_exact_dedup", "op10_toxicity")
 
 
