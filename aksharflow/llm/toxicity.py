@@ -83,6 +83,8 @@ class Index:
 
     def votes(self, best: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """The share of toxic votes, each weighing the inverse of the distance 1 - cosine."""
+        if not len(self.ids):
+            return np.full(len(best), np.nan)
         weight = np.where(best >= 0, 1.0 / (1.0 - cosine + 0.05), 0.0)
         toxic = np.where(best >= 0, self.toxic[np.maximum(best, 0)], 0.0)
         total = weight.sum(axis=1)
