@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import fcntl
 import heapq
+import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import shared_dir, text_of
 from .textvec import chunks
 
 #: Bytes of context that each predictor hashes.
 ORDERS = (1, 2, 4)
-#: A table has 2**bits entries: about one for 512 bytes of the corpus, between these bounds (the upper one is what each executor's Python holds).
-MIN_BITS, MAX_BITS, BYTES_PER_ENTRY_BITS = 16, 22, 9
+#: A table has 2**bits entries: about one for 512 bytes of the corpus, without an upper bound.
+MIN_BITS, BYTES_PER_ENTRY_BITS = 16, 9
+#: A task counts tables of up to so many bits in arrays of their size, and larger ones by sorting RUN decisions at a time into at most HELD entries a table.
+DENSE_BITS, RUN, HELD = 22, 1 << 22, 1 << 22
+#: Hashes of 32 bits serve tables of up to so many; beyond, they have 64.
+NARROW_BITS = 32
 #: Added to both counts of an entry.
 PRIOR = 0.2
 #: Bytes of a document that are predicted with the same weights before these are refined.
@@ -26,7 +36,8 @@ RATE = 0.3
 #: Weights of the predictors at a document's start, by gate: how sure the longest context is.
 GATE_EDGES = np.array([0.05, 1.0, 3.0], np.float32)
 START = np.array([[0.25, 0.75, 0.0], [0.2, 0.6, 0.4], [0.1, 0.4, 0.6], [0.05, 0.25, 0.8]], np.float32)
-SHARDS = 64
+#: Tables are cut into at least SHARDS ranges of slots, none longer than MOST_SPAN.
+SHARDS, MOST_SPAN = 64, 1 << 16
 SCHEMA = "doc_id bigint, bytes bigint, bits double, bits_per_byte double"
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -65,8 +76,17 @@ def _paths(weight: list[int]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def make_code(pairs: np.ndarray) -> Code:
-    """From the counts (256 x 256) of each byte after each byte; no pair is without a path."""
+def table_bits(size: int) -> int:
+    """The bits of a table for a corpus of ``size`` bytes."""
+    return int(max(MIN_BITS, np.ceil(np.log2(max(1, size))) - BYTES_PER_ENTRY_BITS))
+
+
+def _hash_type(bits: int) -> type:
+    return np.uint32 if bits <= NARROW_BITS else np.uint64
+
+
+def make_code(pairs: np.ndarray, kind: type = np.uint32) -> Code:
+    """From the counts (256 x 256) of each byte after each byte; no pair is without a path. ``kind`` is the type of hashes."""
     start, size, step = np.zeros(65536, np.int64), np.zeros(65536, np.int64), []
     at = 0
     for last in range(256):
@@ -75,8 +95,9 @@ def make_code(pairs: np.ndarray) -> Code:
             step += [(last * 512 + node) << 1 | bit for node, bit in path]
             at += len(path)
     flat = np.array(step, np.uint64)
-    h = ((flat >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)
-    return Code(start, size, ((h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | (flat & np.uint64(1)).astype(np.uint32)))
+    h = (flat >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = h >> np.uint64(31) if kind is np.uint32 else h ^ (h >> np.uint64(31))
+    return Code(start, size, ((h.astype(kind) & ~kind(1)) | (flat & np.uint64(1)).astype(kind)))
 
 
 def _before(data: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
@@ -91,16 +112,16 @@ def _before(data: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def contexts(data: np.ndarray, offs: np.ndarray, kind: type = np.uint32) -> tuple[np.ndarray, list[np.ndarray]]:
     """(pair of last and this byte, for each of ORDERS the hash of so many bytes before; its lowest bit is 0)."""
     before = _before(data, offs, max(ORDERS))
     hashes = []
     for order in ORDERS:
-        h = np.full(len(data), order, np.uint32)
+        h = np.full(len(data), order, kind)
         for b in before[:order]:
             h = (h ^ b) * _MIX[0]
-            h ^= h >> np.uint32(15)
-        hashes.append((h * _MIX[1]) & np.uint32(0xFFFFFFFE))
+            h ^= h >> kind(15)
+        hashes.append((h * _MIX[1]) & ~kind(1))
     return before[0].astype(np.int64) << 8 | data, hashes
 
 
@@ -113,7 +134,7 @@ def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots(context: np.ndarray, size: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
     """Table entries; those of a decision's two outcomes are neighbours."""
-    return (np.repeat(context, size) ^ step) & np.uint32((1 << bits) - 1)
+    return (np.repeat(context, size) ^ step) & context.dtype.type((1 << bits) - 1)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -123,21 +144,96 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return (np.log(own) - np.log(two[:, ::-1] + PRIOR)).reshape(-1).astype(np.float32)
 
 
+def _add_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two (sorted slots, counts)."""
+    slot, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(slot, kind="stable")
+    slot, n = slot[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    return slot[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Counter:
+    """Counts of one table's slots, in an array of its size or, beyond DENSE_BITS, as sorted entries of bounded number."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.kind = bits, _hash_type(bits)
+        self.dense = np.zeros(1 << bits, np.int64) if bits <= DENSE_BITS else None
+        self.raw: list[np.ndarray] = []
+        self.held = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def add(self, slots: np.ndarray) -> None:
+        if self.dense is not None:
+            self.dense += np.bincount(slots, minlength=1 << self.bits)
+            return
+        self.raw.append(slots)
+        if sum(map(len, self.raw)) >= RUN:
+            self._sort()
+
+    def _sort(self) -> None:
+        if self.raw:
+            run = np.unique(np.concatenate(self.raw), return_counts=True)
+            self.held, self.raw = _add_runs(self.held, run), []
+
+    def full(self) -> bool:
+        return len(self.held[0]) >= HELD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted slots, counts) so far, which are forgotten."""
+        if self.dense is not None:
+            at = np.flatnonzero(self.dense)
+            return at, self.dense[at]
+        self._sort()
+        out, self.held = self.held, (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        return out
+
+
+def _open_tables(at: str, bits: int, span: int) -> list[np.ndarray]:
+    """The tables as mapped files, one for all processes that see the same folder: built by the first that asks."""
+    url = urlparse(at)
+    folder = url.path if url.scheme in ("", "file") else SparkFiles.get(os.path.basename(url.path))
+    whole, size = folder + ".odds", len(ORDERS) << bits
+    with open(folder + ".lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(whole):
+            flat = np.memmap(whole + ".part", np.float32, "w+", shape=(size,))
+            for batch in pyarrow.dataset.dataset(folder, format="parquet").to_batches(batch_size=64, batch_readahead=1, fragment_readahead=1):
+                for shard, odds in zip(batch.column("shard").to_pylist(), batch.column("odds").to_pylist()):
+                    flat[shard * span : (shard + 1) * span] = np.frombuffer(odds, np.float32)
+            flat.flush()
+            del flat
+            os.replace(whole + ".part", whole)
+    return list(np.memmap(whole, np.float32, "r", shape=(size,)).reshape(len(ORDERS), 1 << bits))
+
+
 @dataclass
 class Model:
+    """``at``: the shared folder of the tables' ranges, each of ``span`` slots. They are not sent with the model, but mapped where it is used."""
+
     code: Code
     bits: int
-    tables: list[np.ndarray]
+    at: str
+    span: int
+    mapped: list[np.ndarray] | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"mapped": None}
+
+    @property
+    def tables(self) -> list[np.ndarray]:
+        if self.mapped is None:
+            self.mapped = _open_tables(self.at, self.bits, self.span)
+        return self.mapped
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bits) of each text: weights start anew in each and are refined after each BLOCK bytes."""
-        n = len(text)
+        n, tables, kind = len(text), self.tables, _hash_type(self.bits)
         size_of, total = np.zeros(n, np.int64), np.zeros(n)
         for at, end, data, offs in chunks(text, 1 << 19):
             size_of[at:end] = np.diff(offs)
             if not len(data):
                 continue
-            pair, hashes = contexts(data, offs)
+            pair, hashes = contexts(data, offs, kind)
             rows, gates, k = end - at, len(START), len(ORDERS)
             weights = np.tile(START.T[:, None, :], (1, rows, 1)).reshape(k, rows * gates)
             length = np.diff(offs)
@@ -148,7 +244,7 @@ class Model:
                 part = np.minimum(length[live] - lo, BLOCK)
                 byte = np.repeat(offs[live] + lo - (np.cumsum(part) - part), part) + np.arange(part.sum())
                 size, step = decisions(self.code, pair[byte])
-                odds = [np.take(t, _slots(h[byte], size, step, self.bits)) for t, h in zip(self.tables, hashes)]
+                odds = [np.take(t, _slots(h[byte], size, step, self.bits)) for t, h in zip(tables, hashes)]
                 sure = np.abs(odds[-1])
                 gate = (sure >= GATE_EDGES[0]).astype(np.int32) + (sure >= GATE_EDGES[1]) + (sure >= GATE_EDGES[2])
                 cell = np.repeat(np.repeat((live * gates).astype(np.int32), part), size) + gate
@@ -183,46 +279,62 @@ def fit(docs: DataFrame) -> Model:
     pairs = np.zeros(65536, np.int64)
     for r in texts.mapInArrow(count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"]] = r["n"]
-    bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, pairs.sum()))) - BYTES_PER_ENTRY_BITS)))
-    code = make_code(pairs.reshape(256, 256))
+    bits = table_bits(int(pairs.sum()))
+    code = make_code(pairs.reshape(256, 256), _hash_type(bits))
     shared = spark.sparkContext.broadcast(code)
-    span = (1 << bits) // SHARDS
+    span = min(MOST_SPAN, (1 << bits) // SHARDS)
+    shards = (1 << bits) // span
+
+    def rows(table: int, counter: Counter) -> Iterator[pa.RecordBatch]:
+        slot, n = counter.take()
+        shard = (slot // slot.dtype.type(span)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(slot)]):
+            wide = n[a:b]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([table * shards + shard[a]], pa.int64()), pa.array([(slot[a:b] % slot.dtype.type(span)).astype(np.uint16).tobytes()]), pa.array([wide.astype(np.uint32 if wide.max() < 1 << 32 else np.uint64).tobytes()])],
+                names=["shard", "entry", "n"],
+            )
 
     def count_outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value
-        counts = [np.zeros(1 << bits, np.int64) for _ in ORDERS]
+        code, kind = shared.value, _hash_type(bits)
+        counters = [Counter(bits) for _ in ORDERS]
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0)):
-                pair, hashes = contexts(data, offs)
+                pair, hashes = contexts(data, offs, kind)
                 size, step = decisions(code, pair)
-                for c, h in zip(counts, hashes):
-                    c += np.bincount(_slots(h, size, step, bits), minlength=1 << bits)
-        for table, c in enumerate(counts):
-            for shard in range(SHARDS):
-                part = c[shard * span : (shard + 1) * span]
-                at = np.flatnonzero(part)
-                if len(at):
-                    wide = part[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([table * SHARDS + shard], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([wide.astype(np.uint32 if wide.max() < 1 << 32 else np.uint64).tobytes()])],
-                        names=["shard", "entry", "n"],
-                    )
+                for table, (c, h) in enumerate(zip(counters, hashes)):
+                    c.add(_slots(h, size, step, bits))
+                    if c.full():
+                        yield from rows(table, c)
+        for table, c in enumerate(counters):
+            yield from rows(table, c)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        """Over a partition sorted by shard: one of them is held at a time."""
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([log_odds(total).tobytes()])], names=["shard", "odds"])
+
+        now, total = -1, np.zeros(span, np.int64)
         for batch in batches:
-            for shard, entry, n in zip(*(c.to_pylist() for c in batch.columns)):
-                at = np.frombuffer(entry, np.uint32)
-                total.setdefault(shard, np.zeros(span, np.int64))[at] += np.frombuffer(n, np.uint32 if len(n) == len(entry) else np.uint64).astype(np.int64)
-        for shard, counts in sorted(total.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([log_odds(counts).tobytes()])], names=["shard", "odds"])
-
-    gathered = texts.mapInArrow(count_outcomes, "shard int, entry binary, n binary").repartition("shard").mapInArrow(add_up, "shard int, odds binary")
-    tables = [np.zeros(1 << bits, np.float32) for _ in ORDERS]
-    for r in gathered.toLocalIterator():
-        table, shard = divmod(r["shard"], SHARDS)
-        tables[table][shard * span : (shard + 1) * span] = np.frombuffer(r["odds"], np.float32)
-    return Model(code, bits, tables)
+            for shard, entry, n in zip(*batch.columns):
+                if shard.as_py() != now:
+                    if now >= 0:
+                        yield done()
+                    now, total = shard.as_py(), np.zeros(span, np.int64)
+                at, n = np.frombuffer(entry.as_py(), np.uint16), n.as_py()
+                total[at] += np.frombuffer(n, np.uint32 if len(n) == 4 * len(at) else np.uint64).astype(np.int64)
+        if now >= 0:
+            yield done()
+
+    counted = texts.mapInArrow(count_outcomes, "shard bigint, entry binary, n binary")
+    gathered = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(add_up, "shard bigint, odds binary")
+    at = f"{shared_dir(spark).rstrip('/')}/odds-{uuid.uuid4().hex}"
+    gathered.write.parquet(at)
+    if urlparse(at).scheme not in ("", "file"):
+        spark.sparkContext.addFile(at, recursive=True)
+    return Model(code, bits, at, span)
 
 
 def perplexity(docs: DataFrame) -> DataFrame:

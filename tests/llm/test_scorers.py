@@ -213,3 +213,62 @@ def test_lm_prefers_the_usual(spark):
     assert len(out) == 205 and by[900]["bits_per_byte"] > 2 * by[1]["bits_per_byte"]
     assert by[901]["bits_per_byte"] is None and by[902]["bits"] == 0 and len({r["bits"] for r in out if r["doc_id"] in (0, None)}) == 1
     assert lm.perplexity(docs.limit(0)).count() == 0
+
+
+def test_lm_tables_grow_at_every_size():
+    assert [lm.table_bits(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 30 << 30, 1 << 40, 1 << 43)] == [16, 16, 20, 22, 26, 31, 34]
+
+
+def test_lm_wide_hashes():
+    """Tables of more than 32 bits need hashes that reach beyond 32."""
+    assert lm._hash_type(32) is np.uint32 and lm._hash_type(33) is np.uint64
+    _, wide = lm.contexts(np.frombuffer(b"abcab", np.uint8), np.array([0, 5]), np.uint64)
+    code = lm.make_code(np.zeros((256, 256), np.int64), np.uint64)
+    assert all(h.dtype == np.uint64 and not (h & np.uint64(1)).any() and (h >> np.uint64(33)).any() for h in wide)
+    assert code.step.dtype == np.uint64 and (lm._slots(wide[0], np.ones(5, int), code.step[:5], 40) >> np.uint64(33)).any()
+
+
+def test_lm_large_tables_match_the_definition(spark, monkeypatch):
+    """Beyond 22 bits the sorted counts are those of a plain tally."""
+    monkeypatch.setattr(lm, "BYTES_PER_ENTRY_BITS", -9)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["the", "of", "and", "blé", "zebra"], 60)) for _ in range(40)]
+    bits = lm.table_bits(sum(len(t.encode()) for t in texts))
+    assert bits > lm.DENSE_BITS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm.fit(docs)
+    assert model.bits == bits and all(len(t) == 1 << bits for t in model.tables)
+    tally = [{} for _ in lm.ORDERS]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        pair, hashes = lm.contexts(data, np.array([0, len(data)]))
+        size, step = lm.decisions(model.code, pair)
+        for t, h in zip(tally, hashes):
+            for slot in lm._slots(h, size, step, bits).tolist():
+                t[slot] = t.get(slot, 0) + 1
+    for t, table in zip(tally, model.tables):
+        for slot, n in t.items():
+            own, other = max(n - 1, 0) + lm.PRIOR, t.get(slot ^ 1, 0) + lm.PRIOR
+            assert table[slot] == pytest.approx(math.log(own / other), abs=1e-5)
+    size, got = model.score(pa.array(texts[:3]))
+    assert got == pytest.approx([slow_bits(model, t) for t in texts[:3]], rel=1e-3)
+
+
+def test_lm_sorted_counts_are_dense_counts(monkeypatch):
+    rng = np.random.default_rng(10)
+    parts = [rng.integers(0, 1 << 16, 3000).astype(np.uint32) for _ in range(9)]
+    monkeypatch.setattr(lm, "RUN", 4000)
+    monkeypatch.setattr(lm, "HELD", 5000)
+    dense = lm.Counter(16)
+    monkeypatch.setattr(lm, "DENSE_BITS", 8)
+    few, out = lm.Counter(16), np.zeros(1 << 16, np.int64)
+    for p in parts:
+        dense.add(p)
+        few.add(p)
+        if few.full():
+            at, n = few.take()
+            out[at] += n
+    at, n = few.take()
+    out[at] += n
+    at, n = dense.take()
+    assert (out[at] == n).all() and out.sum() == n.sum()
