@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash over an inverted index of byte positions."""
+"""Near duplicates by SimHash over an inverted index of four-bit positions."""
 
 from __future__ import annotations
 
@@ -14,15 +14,15 @@ from .common import maybe_member, membership, stage_table, text_of
 from .textvec import chunks, splitmix, word_hashes, words
 
 BYTES = 16
-#: Bits of 128 by which near duplicates may differ. At most 13 means at most 6 in one half of the fingerprint, and so
-#: at least 2 of that half's 8 bytes equal, and at least 3 of all 16.
-MAX_DISTANCE = 13
-MIN_SHARED = BYTES - MAX_DISTANCE
-_PAIRS = list(combinations(range(8), 2))
-_NONE = 255
+#: Bits of 128 by which near duplicates may differ: on sf0.1 all pairs of up to 18 bits share words in sequence (most of
+#: those at 14 to 18 are edited copies), and the first unrelated ones come at 20. At most 18 means at most 4 in one quarter
+#: of the fingerprint, and so at least 4 of that quarter's 8 four-bit positions equal.
+MAX_DISTANCE = 18
+#: Bytes of 16, and four-bit positions of a quarter, that are equal at least.
+MIN_SHARED, MIN_POSITIONS = max(0, BYTES - MAX_DISTANCE), 8 - MAX_DISTANCE // 4
+#: The first two of a quarter's equal positions; MIN_POSITIONS - 2 more come after them.
+_PAIRS = list(combinations(range(8 - MIN_POSITIONS + 2), 2))
 PART = 4096
-#: For each set of equal bytes within a half, the first pair of positions in it.
-_FIRST_PAIR = np.array([next((c for c, (i, j) in enumerate(_PAIRS) if m >> i & 1 and m >> j & 1), _NONE) for m in range(256)], np.uint8)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 POSTINGS = "key int, id bigint, hi bigint, lo bigint"
 MATCHES = "doc_a bigint, doc_b bigint, distance int, shared int"
@@ -74,36 +74,55 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def _keys() -> Column:
-    """Postings keys: half and pair of positions, then the two bytes there."""
+    """Postings keys: quarter and pair of positions, then the four bits at each."""
     out = []
-    for half, name in enumerate(("hi", "lo")):
-        byte = [F.shiftrightunsigned(F.col(name), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-        out += [(F.lit((half * len(_PAIRS) + c) << 16) + F.shiftleft(byte[i], 8) + byte[j]).cast("int") for c, (i, j) in enumerate(_PAIRS)]
+    for quarter in range(4):
+        at = [F.shiftrightunsigned(F.col(("hi", "lo")[quarter // 2]), 32 * (quarter % 2) + 4 * i).bitwiseAND(F.lit(15)) for i in range(8)]
+        out += [(F.lit((quarter * len(_PAIRS) + c) << 8) + F.shiftleft(at[i], 4) + at[j]).cast("int") for c, (i, j) in enumerate(_PAIRS)]
     return F.array(*out)
 
 
+def _first_equal(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of differences x and y between halves: (first quarter with MIN_POSITIONS equal positions, the first of these as (rows x MIN_POSITIONS))."""
+    equal = np.stack([(half >> np.uint64(4 * i)) & np.uint64(15) == 0 for half in (x, y) for i in range(16)], axis=1).reshape(-1, 4, 8)
+    quarter = (equal.sum(axis=2) >= MIN_POSITIONS).argmax(axis=1)
+    own = equal[np.arange(len(x)), quarter]
+    return quarter, np.argsort(~own, axis=1, kind="stable")[:, :MIN_POSITIONS]
+
+
 def _matches(key: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs within runs of equal keys (sorted): tally of equal bytes, count filter, Hamming check; each pair at its first key only."""
-    at, lag = np.arange(len(key)), 1
-    while True:
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-        if not len(at):
-            return
-        for part in np.array_split(at, -(-len(at) // 500_000)):
-            other = part + lag
-            x, y = hi[part] ^ hi[other], lo[part] ^ lo[other]
-            same_x = np.packbits((x.view(np.uint8).reshape(-1, 8) == 0), axis=1, bitorder="little")[:, 0]
-            same_y = np.packbits((y.view(np.uint8).reshape(-1, 8) == 0), axis=1, bitorder="little")[:, 0]
-            first = np.where(_FIRST_PAIR[same_x] != _NONE, _FIRST_PAIR[same_x].astype(np.int64), len(_PAIRS) + _FIRST_PAIR[same_y].astype(np.int64))
-            shared = np.bitwise_count(same_x).astype(np.int32) + np.bitwise_count(same_y)
-            keep = np.flatnonzero((shared >= MIN_SHARED) & (first == key[part] >> 16))
-            distance = np.bitwise_count(x[keep]).astype(np.int32) + np.bitwise_count(y[keep])
-            near = distance <= MAX_DISTANCE
-            keep = keep[near]
-            a, b = ids[part[keep]], ids[other[keep]]
-            yield np.minimum(a, b), np.maximum(a, b), distance[near], shared[keep]
-        lag += 1
+    """Pairs within runs of equal keys (sorted) that agree at each MIN_POSITIONS - 2 positions after the key's: Hamming check; each pair at its first positions only."""
+    groups, starts = np.unique(key >> 8, return_index=True)
+    for group, a, b in zip(groups.tolist(), starts, [*starts[1:], len(key)]):
+        quarter, pair = divmod(group, len(_PAIRS))
+        head = _PAIRS[pair]
+        own = (hi, lo)[quarter // 2][a:b] >> np.uint64(32 * (quarter % 2))
+        for tail in combinations(range(head[1] + 1, 8), MIN_POSITIONS - 2):
+            value = (key[a:b] & 255).astype(np.uint16)
+            for i in tail:
+                value = (value << np.uint16(4)) | ((own >> np.uint64(4 * i)) & np.uint64(15)).astype(np.uint16)
+            order = np.argsort(value, kind="stable")
+            run, x, y = value[order], hi[a:b][order], lo[a:b][order]
+            at, lag = np.arange(b - a), 1
+            while True:
+                at = at[at + lag < len(run)]
+                at = at[run[at] == run[at + lag]]
+                if not len(at):
+                    break
+                for part in np.array_split(at, -(-len(at) // 500_000)):
+                    dx, dy = x[part] ^ x[part + lag], y[part] ^ y[part + lag]
+                    distance = np.bitwise_count(dx) + np.bitwise_count(dy)
+                    near = np.flatnonzero(distance <= MAX_DISTANCE)
+                    if not len(near):
+                        continue
+                    dx, dy = dx[near], dy[near]
+                    where, positions = _first_equal(dx, dy)
+                    first = (where == quarter) & (positions == np.array(head + tail)).all(axis=1)
+                    near, dx, dy = near[first], dx[first], dy[first]
+                    one, two = ids[a:b][order[part[near]]], ids[a:b][order[part[near] + lag]]
+                    shared = sum((d.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for d in (dx, dy)).astype(np.int32)
+                    yield np.minimum(one, two), np.maximum(one, two), distance[near].astype(np.int32), shared
+                lag += 1
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +149,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_a, doc_b, distance, shared): pairs of documents whose 128-bit SimHashes differ in at most MAX_DISTANCE bits.
 
-    The search is exact: documents are posted under each pair of byte positions of a half with the bytes there, each
-    posting list tallies the shared positional bytes of its pairs, those with fewer than the guaranteed MIN_SHARED go,
-    and the Hamming distance decides. Documents with one fingerprint are searched as one: each of them is paired with
+    The search is exact: a pair agrees in at least MIN_POSITIONS of the eight four-bit positions of some quarter.
+    Documents are posted under each pair of positions that can be the first two of these, with the bits there; within a
+    posting list those that agree in the further positions too are compared, and the Hamming distance decides.
+    ``shared`` counts the equal ones of the 16 bytes. Documents with one fingerprint are searched as one: each of them is paired with
     the smallest doc_id among them, which stands for all in pairs with others. doc_a < doc_b; each pair comes once.
 
     The fingerprint is that of the lower-case words, so that case, order, punctuation and white space don't count. Rows
