@@ -1,3 +1,3 @@
 """Spark-native repair and analysis of legacy-encoded Devanagari text."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

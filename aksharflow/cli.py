@@ -9,13 +9,15 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
+
 
 def _session() -> SparkSession:
     return SparkSession.builder.appName("aksharflow").getOrCreate()
 
 
-def _extraction(p: argparse.ArgumentParser) -> None:
-    p.add_argument("path")
+def _extraction(p: argparse.ArgumentParser, nargs: str | None = None) -> None:
+    p.add_argument("path", nargs=nargs)
     p.add_argument("--font-type", default="auto", choices=["auto", "krutidev", "chanakya", "none"])
     p.add_argument("--lexicon-file")
     p.add_argument("--bootstrap-lexicon", action="store_true")
@@ -25,6 +27,7 @@ def _extraction(p: argparse.ArgumentParser) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="aksharflow", description=__doc__)
+    top.add_argument("--version", action="version", version=f"aksharflow {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("extract")
     _extraction(p)
@@ -38,15 +41,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prefix")
     sub.add_parser("info").add_argument("path")
     p = sub.add_parser("regress")
-    _extraction(p)
+    _extraction(p, "+")
     p.add_argument("--second-stage", default="lexicon", choices=["none", "lexicon"])
     p.add_argument("--page-limit", type=int)
     p = sub.add_parser("correct-corpus")
     p.add_argument("path")
-    p.add_argument("-o", "--output", required=True)
+    p.add_argument("-o", "--output", default="aksharflow_corpus.jsonl")
     p.add_argument("--correction-mode", default="safe", choices=["none", "safe", "aggressive"])
     p.add_argument("--font-type", default="auto", choices=["auto", "krutidev", "chanakya", "none", "scrambled_devanagari"])
-    p.add_argument("--extensions", default=".txt")
+    p.add_argument("--extensions", nargs="+", default=[".txt"])
     p.add_argument("--workers", type=int, help="accepted; the cluster decides")
     p.add_argument("--use-symspell", action="store_true")
     p.add_argument("--symspell-dict")
@@ -64,7 +67,7 @@ def _run(a: argparse.Namespace) -> int:
     if a.command == "correct-corpus":
         from .plans.batch import BatchConfig, correct_corpus
 
-        config = BatchConfig(a.font_type, a.correction_mode, tuple(a.extensions.split(",")), a.use_symspell, a.symspell_dict, a.symspell_max_distance)
+        config = BatchConfig(a.font_type, a.correction_mode, tuple(x for e in a.extensions for x in e.split(",")), a.use_symspell, a.symspell_dict, a.symspell_max_distance)
         summary = correct_corpus(spark, a.path, a.output, config)
         _show(summary, a.json)
         return 0 if summary["files"] else 1
@@ -95,16 +98,17 @@ def _run(a: argparse.Namespace) -> int:
     lexicon = Lexicon.of(spark, path=a.lexicon_file) if a.lexicon_file else None
     rules = read_overrides(spark, a.overrides_file) if a.overrides_file else None
     if a.command == "regress":
-        pages = read_pages(files).where("error is null")
+        pages = read_pages(files)
         report = regression.page_report(pages, font=a.font_type, second_stage=a.second_stage, lexicon=lexicon, bootstrap=a.bootstrap_lexicon, overrides=rules, page_limit=a.page_limit)
         lines = report.toJSON().collect() if a.json else regression.format_report(report)
         print("\n".join(lines))
         return 0 if len(lines) > (0 if a.json else 1) else 1
-    pages = read_pages(files, parse_single_range(a.page_range) if a.page_range else None)
+    pages = read_pages(files, parse_single_range(a.page_range) if a.page_range else None, with_sample=True)
     failed = pages.where("error is not null").select("path", "error").collect()
     done = extract.extract_pages(pages.where("error is null"), font=a.font_type, post=not a.no_post_process, overrides=rules, second_stage=a.second_stage, lexicon=lexicon, bootstrap=a.bootstrap_lexicon)
-    docs = extract.documents_of(done).collect()
-    for r in docs:
+    docs = 0
+    for r in extract.documents_of(done).toLocalIterator():
+        docs += 1
         _show(r.asDict(recursive=True), True) if a.json else print(r["full_text"])
     for r in failed:
         print(f"{r['path']}: {r['error']}", file=sys.stderr)

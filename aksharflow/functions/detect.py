@@ -25,13 +25,18 @@ def _sum(columns: list[Column]) -> Column:
     return out
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0: an optimiser may evaluate it ahead of the condition that guards it."""
+    return a / F.nullif(b, F.lit(0))
+
+
 def count(text: Column, regex: str) -> Column:
     return F.regexp_count(text, F.lit(regex))
 
 
 def detect_encoding(text: Column) -> Column:
     """struct(has_issues, font): whether the text looks like a legacy glyph font, and like which one."""
-    share = count(text, f"[{P.DEVA}]") / F.length(text)
+    share = ratio(count(text, f"[{P.DEVA}]"), F.length(text))
     sums = F.struct(*(_sum([occurrences(text, s) for s in signs]).alias(n) for n, signs in (("k", KRUTIDEV_SIGNS), ("c", CHANAKYA_SIGNS), ("g", GENERAL_SIGNS))))
     none = F.struct(F.lit(False).alias("has_issues"), F.lit("unknown").alias("font"))
 
@@ -67,7 +72,7 @@ def artifact_total(text: Column) -> Column:
 
 def detect_scrambled(text: Column, threshold: float = 0.01) -> Column:
     deva = count(text, f"[{P.DEVA}]")
-    return F.coalesce((deva >= 50) & (deva / F.length(text) >= 0.3) & (artifact_total(text) / deva > threshold), F.lit(False))
+    return F.coalesce((deva >= 50) & (ratio(deva, F.length(text)) >= 0.3) & (ratio(artifact_total(text), deva) > threshold), F.lit(False))
 
 
 PUNCTUATION = r"[.,!?;:()\[\]{}\"'\-=/\u2000-\u206f]"
@@ -82,7 +87,7 @@ def garbage(text: Column) -> Column:
     bare = F.regexp_replace(text, P.WS, "")
     total = F.length(bare)
     point, letter, digit = count(bare, PUNCTUATION), count(bare, "[A-Za-z\u0900-\u0d7f]"), count(bare, "[0-9]")
-    shares = F.struct((point / total).alias("p"), (letter / total).alias("l"), ((total - point - letter - digit) / total).alias("g"))
+    shares = F.struct(ratio(point, total).alias("p"), ratio(letter, total).alias("l"), ratio(total - point - letter - digit, total).alias("g"))
     result = lambda bad, score, reason: F.struct(F.lit(bad).alias("is_garbage"), score.cast("double").alias("score"), reason.alias("reason"))
     percent = lambda what, x: F.format_string(f"{what}: %.1f%%", x * 100)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,15 +38,18 @@ def steps(repair: bool) -> list[tuple[str, str]]:
 
 def post_process(text: Column, repair: bool | Column = True) -> Column:
     """The whole chain; with a column for ``repair``, the step that it switches is guarded row by row."""
-    if isinstance(repair, bool):
-        for regex, to in steps(repair):
-            text = F.regexp_replace(text, regex, to)
-        return text
     optional = set(steps(True)) - set(steps(False))
-    for regex, to in steps(True):
-        done = F.regexp_replace(text, regex, to)
-        # a pattern that matches nothing stands for the switched-off step, so that the chain stays one expression
-        text = F.regexp_replace(text, F.when(repair, F.lit(regex)).otherwise(F.lit("(?!)")), F.lit(to)) if (regex, to) in optional else done
+    doubled = [(m + m, m) for m in P.SINGLE_MARKS]
+    for regex, to in steps(repair if isinstance(repair, bool) else True):
+        if (regex, to) == doubled[0]:
+            done = F.regexp_replace(text, f"([{P.SINGLE_MARKS}])\\1", "$1")  # what one pass for each mark gives
+        elif (regex, to) in doubled:
+            continue
+        elif re.search(r"[\[\](){}\\.|?*+^$]", regex) is None:
+            done = F.replace(text, F.lit(regex), F.lit(to))
+        else:
+            done = F.regexp_replace(text, regex, to)
+        text = F.when(repair, done).otherwise(text) if (regex, to) in optional and not isinstance(repair, bool) else done
     return text
 
 

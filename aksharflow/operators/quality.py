@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.detect import NOISE, count, garbage
 from .lexicon import default_words
-from .tokens import tokens_of
 
 
-def measure_quality(text: Column, words: set[str] | frozenset[str] | None = None) -> Column:
-    """struct of token, script, lexicon and artefact measures and an index from 0 to 1. ``words`` are a literal set, looked up by hash."""
+def measured_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"[{P.TOKEN}]{{3,}}"), F.lit(0))
+
+
+def measure_quality(text: Column, words: set[str] | frozenset[str] | None = None, hits: Column | None = None) -> Column:
+    """struct of token, script, lexicon and artefact measures and an index from 0 to 1.
+
+    ``words`` are a literal set, looked up by hash; ``hits`` are given in their stead where a join counts the words.
+    A null text is measured as an empty one.
+    """
+    text = F.coalesce(text, F.lit(""))
     words = default_words() if words is None else words
-    tokens = F.filter(tokens_of(text), lambda t: F.length(t) >= 3)
-    hits = F.size(F.filter(tokens, lambda t: t.isin(*sorted(words)))) if words else F.lit(0)
+    tokens = measured_tokens(text)
+    if hits is None:
+        hits = F.size(F.filter(tokens, lambda t: t.isin(*sorted(words)))) if words else F.lit(0)
     visible = F.length(F.regexp_replace(text, P.WS, ""))
     deva, latin = count(text, f"[{P.DEVA}]"), count(text, "[A-Za-z]")
-    noise = F.struct(*(count(text, r).alias(n) for n, r in NOISE))
+    noise = F.struct(*((latin if n == "latin_residue" else count(text, r)).alias(n) for n, r in NOISE))
     base = F.struct(F.size(tokens).alias("token_count"), hits.alias("hits"), visible.alias("visible"), deva.alias("deva"), latin.alias("latin"), noise.alias("noise"), garbage(text).alias("garbage"))
 
     def whole(b: Column) -> Column:

@@ -27,10 +27,17 @@ def slice_pages(pages: DataFrame, start: int, end: int, by: list[str], page: str
     return pages.join(totals, by).withColumn("_r", r).where((F.col(page) > F.col("_r.first")) & (F.col(page) <= F.col("_r.stop"))).drop("_total", "_r")
 
 
-def sample_text(pages: DataFrame, by: list[str], text: str = "raw", page: str = "page_num", pages_from: int = 0, most_pages: int = 3, enough: int = 1000) -> DataFrame:
-    """(*by, sample): the first pages' texts joined, until ``enough`` characters are there."""
+def mark_pages(pages: DataFrame, start: int, end: int, by: list[str], page: str = "page_num") -> DataFrame:
+    """All pages up to ``end``, with whether each is ``wanted`` and whether the encoding is ``sampled`` from it."""
+    totals = pages.groupBy(*by).agg(F.max(page).alias("_total"))
+    near = pages.join(totals, by).withColumn("_r", clamp(F.lit(start), F.lit(end), F.col("_total"))).where(F.col(page) <= F.col("_r.stop"))
+    return near.withColumn("wanted", F.col(page) > F.col("_r.first")).withColumn("sampled", F.col(page) <= F.col("_r.first") + 3).drop("_total", "_r")
+
+
+def sample_text(pages: DataFrame, by: list[str], text: str = "raw", page: str = "page_num", most_pages: int | None = 3, enough: int = 1000) -> DataFrame:
+    """(*by, sample): the texts of the pages up to ``most_pages`` (None: of all) joined, until ``enough`` characters are there."""
     order = Window.partitionBy(*by).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    near = pages.where(F.col(page) <= pages_from + most_pages).withColumn("_before", F.coalesce(F.sum(F.length(text)).over(order), F.lit(0))).where(F.col("_before") < enough)
+    near = (pages if most_pages is None else pages.where(F.col(page) <= most_pages)).withColumn("_before", F.coalesce(F.sum(F.length(text)).over(order), F.lit(0))).where(F.col("_before") < enough)
     rows = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t"))))
     return near.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("sample"))
 

@@ -23,9 +23,9 @@ def check_mode(mode: str) -> None:
 def with_encoding(df: DataFrame, text: str, font: str) -> DataFrame:
     """Adds has_encoding_issues, detected_font_type, is_scrambled_devanagari and effective_font_type."""
     e = detect_encoding(F.col(text))
-    df = df.withColumn("_e", e).withColumn("is_scrambled_devanagari", detect_scrambled(F.col(text)))
-    reported = F.when(F.col("is_scrambled_devanagari") & (F.col("_e.font") == "unknown"), F.lit(SCRAMBLED)).otherwise(F.col("_e.font"))
-    df = df.withColumn("has_encoding_issues", F.col("_e.has_issues")).withColumn("detected_font_type", reported).drop("_e")
+    df = df.withColumn("_e", e).withColumn("is_scrambled_devanagari", (F.col("_e.font") == "unknown") & detect_scrambled(F.col(text)))
+    reported = F.when(F.col("is_scrambled_devanagari"), F.lit(SCRAMBLED)).otherwise(F.col("_e.font"))
+    df = df.withColumn("has_encoding_issues", F.col("_e.has_issues") | F.col("is_scrambled_devanagari")).withColumn("detected_font_type", reported).drop("_e")
     return df.withColumn("effective_font_type", F.col("detected_font_type") if font == "auto" else F.lit(font))
 
 
@@ -42,13 +42,14 @@ def repaired(text: str, font: str) -> Column:
     return post_process(F.col(text), F.col("effective_font_type").isin(*FONTS) if font == "auto" else font in FONTS)
 
 
-def stages(font: str, mode: str, symspell: bool = False) -> Column:
-    effective = F.col("effective_font_type")
+def stages(text: str, mode: str, symspell: bool = False) -> Column:
+    """What was done to the text, in order; nothing is done to an empty one but the optional speller."""
+    effective, some = F.col("effective_font_type"), F.length(text) > 0
     legacy = ~effective.isin("unknown", "none", SCRAMBLED)
     found = F.array(
-        F.when(legacy, F.concat(F.lit("convert:"), effective)),
-        F.when(effective != "none", F.lit("post_process")),
-        F.lit(f"lexicon:{mode}" if mode != "none" else None).cast("string"),
+        F.when(some & legacy, F.concat(F.lit("convert:"), effective)),
+        F.when(some & (effective != "none"), F.lit("post_process")),
+        F.when(some, F.lit(f"lexicon:{mode}" if mode != "none" else None).cast("string")),
         F.lit("symspell" if symspell else None).cast("string"),
     )
     return F.filter(found, lambda x: x.isNotNull())
@@ -85,13 +86,13 @@ def clean(
     if symspell is not None:
         df = symspell.correct(df, "cleaned_text", out="cleaned_text", stats="symspell_stats")
     last = df.withColumn("artifact_count_after", artifact_total(F.col("cleaned_text")))
-    last = last.withColumn("artifacts_removed", F.greatest(F.lit(0), F.col("artifact_count_before") - F.col("artifact_count_after")))
+    last = last.withColumn("artifacts_removed", F.col("artifact_count_before") - F.col("artifact_count_after"))
     return last.withColumns(
         {
             "input_char_count": F.length(text),
             "output_char_count": F.length("cleaned_text"),
             "correction_mode": F.lit(mode),
-            "stages_applied": stages(font, mode, symspell is not None),
+            "stages_applied": stages(text, mode, symspell is not None),
         }
     )
 

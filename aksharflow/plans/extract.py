@@ -9,7 +9,7 @@ from ..functions.detect import artifact_total, detect_encoding, latin_chunk, sum
 from ..functions.repair import post_process
 from ..operators import lexicon as lex
 from ..operators.overrides import apply_overrides
-from ..operators.ranges import sample_text
+from ..operators.ranges import mark_pages, sample_text
 from .clean import converted, repaired, with_encoding
 
 NO_FONT = ("unknown", "none")
@@ -25,18 +25,26 @@ def extract_pages(
     lexicon: lex.Lexicon | None = None,
     bootstrap: bool = False,
     max_distance: int = 2,
-    first_page: int = 0,
+    page_range: tuple[int, int] | None = None,
+    keep_before: bool = False,
 ) -> DataFrame:
     """Pages (*by, page_num, raw) with text, the document's encoding, overrides_applied and page_correction_stats.
 
-    Encoding is judged on a sample of each document's first pages, joined back by document.
+    Encoding is judged on a sample of each document's pages up to the third of those that are asked for, from its
+    beginning, and joined back by document. ``page_range`` (from 1, clamped) or pages that read_pages() has marked say
+    which are asked for. With ``keep_before`` the text ahead of the
+    second stage is added as text_before. Null and empty pages stay as they are.
     """
     if second_stage not in ("none", "lexicon"):
         raise ValueError(f"second stage must be none or lexicon: {second_stage!r}")
     by = list(by)
-    judged = with_encoding(sample_text(pages, by, pages_from=first_page), "sample", font).drop("sample")
-    judged = judged.withColumn("has_encoding_issues", F.col("has_encoding_issues") | F.col("is_scrambled_devanagari"))
-    out = pages.join(judged, by, "left").withColumn("text", converted("raw", font))
+    if page_range is not None:
+        pages = mark_pages(pages, *page_range, by)
+    marked = {"wanted", "sampled"} <= set(pages.columns)
+    sample = sample_text(pages.where("sampled"), by, most_pages=None) if marked else sample_text(pages, by)
+    judged = with_encoding(sample, "sample", font).drop("sample")
+    out = pages.where("wanted").drop("wanted", "sampled") if marked else pages
+    out = out.join(judged, by, "left").withColumn("text", converted("raw", font))
     if post:
         out = out.withColumn("text", repaired("text", font))
     if overrides is not None:
@@ -44,6 +52,8 @@ def extract_pages(
     else:
         out = out.withColumn("overrides_applied", F.lit(0))
     staged = F.lit(False)
+    if keep_before:
+        out = out.withColumn("text_before", F.coalesce("text", F.lit("")))
     if second_stage == "lexicon":
         use = lexicon or lex.Lexicon.of(pages.sparkSession)
         if bootstrap:

@@ -282,8 +282,8 @@ round(case when n < 50 then 0.0 when p > 0.5 then 1.0 - p when l < 0.4 then l wh
         "quality_by_label": f"""with b as (select doc_id, text, {bare} as t from documents),
 s as (select doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as n, {O.count('t', '[A-Za-z]')} as latin, length(t)::double as total, {O.count('t', detect.PUNCTUATION.replace(chr(92) + 'u2000-' + chr(92) + 'u206f', chr(0x2000) + '-' + chr(0x206f)))} as p, {O.count('t', '[A-Za-z' + chr(0x900) + '-' + chr(0xd7f) + ']')} as l, {O.count('t', '[0-9]')} as g from b)
 select quality, toxic, count(*) as docs, sum(latin)::bigint as latin_chars, count_if(n < 50 or p / total > 0.5 or l / total < 0.4 or (total - p - l - g) / total > 0.3)::bigint as garbage from s join labels using (doc_id) group by all""",
-        "clean_none": f"{cleaned} select doc_id, font as detected_font_type, issues as has_encoding_issues, before as artifact_count_before, after as artifact_count_after, greatest(0, before - after) as artifacts_removed, case when font = 'unknown' then 'post_process' else 'convert:' || font || ',post_process' end as stages, t as cleaned_text from r",
-        "batch_summary": f"{cleaned}, f as (select font, count(*) as n, sum(greatest(0, before - after)) as removed from r group by font) select (select sum(n) from f)::bigint as files, 0::bigint as errors, (select sum(removed) from f)::bigint as artifacts_removed, font, n from f",
+        "clean_none": f"{cleaned} select doc_id, font as detected_font_type, issues as has_encoding_issues, before as artifact_count_before, after as artifact_count_after, before - after as artifacts_removed, case when font = 'unknown' then 'post_process' else 'convert:' || font || ',post_process' end as stages, t as cleaned_text from r",
+        "batch_summary": f"{cleaned}, f as (select font, count(*) as n, sum(before - after) as removed from r group by font) select (select sum(n) from f)::bigint as files, 0::bigint as errors, (select sum(removed) from f)::bigint as artifacts_removed, font, n from f",
         "overrides_apply": """with g as (select conv_id as path, (turn + 1)::int as page_num, text as t0, replace(text, 'the', 'THE') as t1 from conversations),
 h as (select *, replace(t1, 'on', '0n') as t2 from g),
 p as (select *, case page_num when 1 then replace(t2, 'a', '@') when 2 then replace(t2, 'THE', 'then') else t2 end as t3 from h)

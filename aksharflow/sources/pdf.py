@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect_encoding
 
-PAGES = "path string, total_pages int, page_num int, raw string, error string"
+PAGES = "path string, total_pages int, page_num int, raw string, error string, wanted boolean, sampled boolean"
+#: Characters from which on no further page is read to judge the encoding.
+SAMPLE_CHARS = 1000
 INFO = "path string, filename string, total_pages int, size_kb double, metadata map<string,string>, sample string, error string"
 
 
@@ -44,10 +46,10 @@ def pdf_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFr
     return reader.load(root).where(F.lower("path").endswith(".pdf"))
 
 
-def read_pages(files: DataFrame, page_range: tuple[int, int] | None = None, opener: Opener = pypdf_opener) -> DataFrame:
+def read_pages(files: DataFrame, page_range: tuple[int, int] | None = None, opener: Opener = pypdf_opener, with_sample: bool = False) -> DataFrame:
     """(path, total_pages, page_num, raw, error): a row a page; only pages of the (clamped) range are extracted.
 
-    A page that fails is empty. A file that can't be opened is one row with its error.
+    ``with_sample`` adds the pages before it from which the encoding is judged, and the columns wanted and sampled. A page that fails is empty. A file that can't be opened is one row with its error.
     """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,17 +63,22 @@ def read_pages(files: DataFrame, page_range: tuple[int, int] | None = None, open
                     if page_range:
                         first = max(0, min(page_range[0] - 1, total - 1))
                         stop = max(first + 1, min(page_range[1], total))
-                    for i in range(first, min(stop, total)):
+                    known = 0
+                    for i in range(min(stop, total)):
+                        if i < first and (known >= SAMPLE_CHARS or not with_sample):
+                            continue
                         try:
                             raw = texts[i]() or ""
                         except Exception:  # noqa: BLE001 - one broken page leaves the others readable
                             raw = ""
-                        out.append((path, total, i + 1, raw, None))
+                        out.append((path, total, i + 1, raw, None, i >= first, known < SAMPLE_CHARS and i < first + 3))
+                        known += len(raw)
                 except Exception as e:  # noqa: BLE001 - errors are rows
-                    out.append((path, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "total_pages", "page_num", "raw", "error"]).astype({"total_pages": "Int32", "page_num": "Int32"})
+                    out.append((path, None, None, None, str(e), True, False))
+            yield pd.DataFrame(out, columns=["path", "total_pages", "page_num", "raw", "error", "wanted", "sampled"]).astype({"total_pages": "Int32", "page_num": "Int32"})
 
-    return files.select("path", "content").mapInPandas(pages, PAGES)
+    found = files.select("path", "content").mapInPandas(pages, PAGES)
+    return found if with_sample else found.where("wanted").drop("wanted", "sampled")
 
 
 def pdf_info(files: DataFrame, opener: Opener = pypdf_opener) -> DataFrame:

@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".txt",)
 
 
-def read_text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, text, error): whole files below ``root``, bytes that are no UTF-8 as U+FFFD; suffixes are case-sensitive."""
+def _listing(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path) of the files below ``root`` with one of the suffixes, or of ``root`` itself where it is a file of any suffix. Contents are not read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return spark.createDataFrame([(root,)], "path string")
     glob = "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return reader.load(root).select("path", text.alias("text"), F.lit(None).cast("string").alias("error"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path")
+
+
+def read_paths(paths: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """(path, text, error) for each row of ``paths``: the whole file, undecodable bytes as U+FFFD, or why it can't be read with a null text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                text, error = None, None
+                try:
+                    if re.match("[a-z][a-z0-9+.-]+:", path) and not path.startswith("file:"):
+                        system, at = pa.fs.FileSystem.from_uri(path)
+                        with system.open_input_stream(at) as f:
+                            content = f.read()
+                    else:
+                        with open(unquote(re.sub("^file:/*", "/", path)) if path.startswith("file:") else path, "rb") as f:
+                            content = f.read()
+                    text = content.decode(encoding, "replace")
+                except OSError as e:
+                    error = f"read_error: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["path", "text", "error"])
+
+    return paths.select("path").mapInArrow(read, "path string, text string, error string")
+
+
+def read_text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, text, error) of whole files below ``root``, or of the file ``root``; suffixes are case-sensitive."""
+    return read_paths(_listing(spark, root, extensions))
 
 
 def discover_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path), sorted."""
-    glob = "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path").orderBy("path")
+    return _listing(spark, root, extensions).orderBy("path")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

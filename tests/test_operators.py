@@ -206,3 +206,17 @@ def test_configuration(spark):
     assert {r["base"]: r["key"] for r in resolved.collect()} == {"abc": "abc", "abd": "^ab.*$", "zzz": "default"}
     plan = {(r["base"], r["part"]): (r["out_name"], r["valid"]) for r in ranges.plan_splits(resolved).collect()}
     assert plan == {("abc", 1): ("P_U_N.pdf", True), ("abc", 2): ("P_U_Lecture2.pdf", False), ("abd", 1): ("abd_Lecture1.pdf", True)}
+
+
+def test_fixes_in_place_and_by_digest_agree(spark):
+    from aksharflow.operators import tokens
+
+    a, b, c = "कमल", "नदी", "घर"
+    rows = [(1, "x", f"{a} {b}, {a}!"), (2, "y", f"{a} {b}"), (3, "x", None), (4, None, a), (5, "x", ""), (6, "x", f"{a} {b}, {a}!"), (7, "x", "plain")]
+    df = spark.createDataFrame(rows, "i int, k string, text string")
+    fixes = spark.createDataFrame([("x", a, c, "exact"), ("x", b, None, None), ("y", b, a, "fuzzy"), (None, a, b, "exact")], "k string, token string, to string, reason string")
+    plain = lambda df: sorted((r["i"], r["corrected"], r["stats"].asDict(recursive=True)) for r in df.collect())
+    got = plain(tokens.apply_fixes(df, "text", fixes.where("k is not null"), ["k"], most=1))
+    assert got == plain(tokens.apply_fixes(df, "text", fixes.where("k is not null"), ["k"], most=1, most_carried=2))
+    assert got[0][1] == f"{c} {b}, {c}!" and got[0][2] == {"tokens_seen": 3, "tokens_considered": 3, "corrected_tokens": 2, "corrections": [{"from": a, "to": c, "reason": "exact"}], "rule_counts": {"exact": 2}} and got[1][1] == f"{a} {a}"
+    assert "Exchange" not in tokens.apply_fixes(df, "text", fixes, ["k"])._jdf.queryExecution().executedPlan().toString()

@@ -208,3 +208,69 @@ def test_cli(spark, tmp_path):
     assert cli.main(["correct-corpus", str(tmp_path / "none"), "-o", str(tmp_path / "out2")]) == 1
     args = cli.parser().parse_args(["regress", "x.pdf"])
     assert args.second_stage == "lexicon" and not args.bootstrap_lexicon
+
+
+def test_empty_texts_do_not_fail_a_job(spark, tmp_path):
+    """Read from a file, as a local table is evaluated otherwise; with empty, blank and null texts in every plan."""
+    rows = [(1, ""), (2, "  \n"), (3, None), (4, KRUTI), (5, "क" * 60)]
+    spark.createDataFrame(rows, "i int, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for mode in ("none", "safe"):
+        got = {r["i"]: r for r in clean.clean(df, mode=mode).collect()}
+        assert got[1]["stages_applied"] == [] and got[1]["cleaned_text"] == "" and got[1]["artifacts_removed"] == 0 and got[3]["cleaned_text"] is None and not got[1]["has_encoding_issues"]
+        assert got[2]["stages_applied"][0] == "post_process" and got[4]["stages_applied"][0] == "convert:krutidev"
+        assert clean.summarise(clean.clean(df, mode=mode)).first()["files"] == 5
+    pages_ = df.select(F.lit("p").alias("path"), F.col("i").alias("page_num"), F.col("text").alias("raw"))
+    for which in (pages_, pages_.where("page_num < 4")):
+        assert extract.documents_of(extract.extract_pages(which, second_stage="lexicon", bootstrap=True)).count() == 1
+        assert regression.page_report(which).count() == which.count() and extract.compare(which).count() == which.count()
+
+
+def test_scrambled_text_has_issues(spark):
+    r = cleaned(spark, "जन््मम शब््दोों की कथा " * 6)
+    assert r["is_scrambled_devanagari"] and r["detected_font_type"] == "scrambled_devanagari" and r["has_encoding_issues"]
+
+
+def test_artifacts_removed_may_be_negative(spark):
+    """Conversion can bring artefacts that the glyphs did not show; the difference is reported as it is."""
+    r = cleaned(spark, "dWWk", font="krutidev")
+    assert r["artifact_count_before"] == 0 and r["artifacts_removed"] == -r["artifact_count_after"] < 0
+
+
+def test_page_range_is_judged_from_the_start(spark, tmp_path):
+    """A range of later pages is converted as the first ones are; pages ahead of it serve as the sample only."""
+    rows = [("d", i, KRUTI) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "path string, page_num int, raw string")
+    whole = {r["page_num"]: r["text"] for r in extract.extract_pages(df).collect()}
+    part = extract.extract_pages(df, page_range=(10, 11)).collect()
+    assert {r["page_num"]: r["text"] for r in part} == {i: whole[i] for i in (10, 11)} and {r["detected_font_type"] for r in part} == {"krutidev"}
+    (tmp_path / "a.pdf").write_bytes(("P\n" + "\n".join([KRUTI] * 11)).encode())
+    read = pdf.read_pages(pdf.pdf_files(spark, str(tmp_path)), (10, 11), stand_in(), with_sample=True)
+    got = extract.extract_pages(read).collect()
+    assert sorted(r["page_num"] for r in got) == [10, 11] and {r["detected_font_type"] for r in got} == {"krutidev"}
+
+
+def test_regression_measures_with_the_given_words(spark):
+    df = spark.createDataFrame([("d", 1, "गैंगटॉक"), ("e", 1, "पूर्वी पूर्वी")], "path string, page_num int, raw string")
+    given = Lexicon.of(spark, {"गैंगटॉक"})
+    plain = {r["path"]: r for r in regression.page_report(df, lexicon=given, bootstrap=False).collect()}
+    assert plain["d"]["baseline"]["lexicon_hit_rate"] == 1.0 and plain["e"]["baseline"]["lexicon_hit_rate"] == 0.0
+    boot = {r["path"]: r for r in regression.page_report(df, lexicon=given, bootstrap=True).collect()}
+    assert boot["d"]["baseline"]["lexicon_hit_rate"] == boot["e"]["baseline"]["lexicon_hit_rate"] == 1.0
+    assert (boot["e"]["contextual_lexicon_size"], boot["e"]["effective_lexicon_size"]) == (1, 2)
+    failed = df.withColumn("error", F.lit(None).cast("string")).unionByName(spark.createDataFrame([("f", "gone")], "path string, error string"), allowMissingColumns=True)
+    assert {r["path"]: r["error"] for r in regression.page_report(failed).collect()} == {"d": None, "e": None, "f": "gone"}
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.md").write_text("यह", encoding="utf-8")
+    assert [r["text"] for r in text.read_text_files(spark, str(tmp_path / "a.md")).collect()] == ["यह"]
+    paths = spark.createDataFrame([(str(tmp_path / "a.md"),), (str(tmp_path / "gone.txt"),)], "path string")
+    got = clean.clean(text.read_paths(paths))
+    assert sorted(bool(r["error"]) for r in got.collect()) == [False, True] and clean.summarise(got).first()["errors"] == 1
+
+
+def test_cli_options():
+    args = cli.parser().parse_args(["correct-corpus", "x", "--extensions", ".txt", ".md"])
+    assert args.extensions == [".txt", ".md"] and args.output
+    assert cli.parser().parse_args(["regress", "a.pdf", "b.pdf"]).path == ["a.pdf", "b.pdf"]
