@@ -10,22 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_member, membership, stage_table, text_of
+from .common import Links, components, maybe_member, membership, stage_table, text_of
 from .textvec import chunks, splitmix, word_hashes, words
 
-BYTES = 16
 #: Bits of 128 by which near duplicates may differ: on sf0.1 all pairs of up to 18 bits share words in sequence (most of
 #: those at 14 to 18 are edited copies), and the first unrelated ones come at 20. At most 18 means at most 4 in one quarter
 #: of the fingerprint, and so at least 4 of that quarter's 8 four-bit positions equal.
 MAX_DISTANCE = 18
-#: Bytes of 16, and four-bit positions of a quarter, that are equal at least.
-MIN_SHARED, MIN_POSITIONS = max(0, BYTES - MAX_DISTANCE), 8 - MAX_DISTANCE // 4
+#: Of 32 four-bit positions, and of a quarter's eight, so many are equal at least.
+MIN_SHARED, MIN_POSITIONS = 32 - MAX_DISTANCE, 8 - MAX_DISTANCE // 4
 #: The first two of a quarter's equal positions; MIN_POSITIONS - 2 more come after them.
 _PAIRS = list(combinations(range(8 - MIN_POSITIONS + 2), 2))
 PART = 4096
+#: Postings that a task gathers before it searches their lists.
+HELD = 1 << 17
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 POSTINGS = "key int, id bigint, hi bigint, lo bigint"
-MATCHES = "doc_a bigint, doc_b bigint, distance int, shared int"
+LINKS = "id bigint, first bigint, links bigint, nearest double"
 
 
 def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +64,12 @@ def _fingerprint_udf(text: pa.Array) -> pa.Array:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(id, hi, lo) of the documents that have an id and a word."""
+    """(id, hi, lo) of the documents that have an id; hi and lo are null where there is no word."""
     fp = F.arrow_udf(_fingerprint_udf, "hi bigint, lo bigint, words int")
     return (
         docs.where("doc_id is not null")
         .select(F.col("doc_id").cast("bigint").alias("id"), fp(F.lower(text_of(docs))).alias("f"))
-        .where("f.words > 0")
-        .select("id", "f.hi", "f.lo")
+        .select("id", *(F.when(F.col("f.words") > 0, F.col(f"f.{half}")).alias(half) for half in ("hi", "lo")))
     )
 
 
@@ -82,6 +82,16 @@ def _keys() -> Column:
     return F.array(*out)
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of differences between halves, how many of the 32 four-bit positions are 0."""
+    apart = np.zeros(len(x), np.uint8)
+    for half in (x, y):
+        any_bit = half | half >> np.uint64(1)
+        any_bit |= any_bit >> np.uint64(2)
+        apart += np.bitwise_count(any_bit & np.uint64(0x1111111111111111))
+    return 32 - apart
+
+
 def _first_equal(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of differences x and y between halves: (first quarter with MIN_POSITIONS equal positions, the first of these as (rows x MIN_POSITIONS))."""
     equal = np.stack([(half >> np.uint64(4 * i)) & np.uint64(15) == 0 for half in (x, y) for i in range(16)], axis=1).reshape(-1, 4, 8)
@@ -91,7 +101,11 @@ def _first_equal(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matches(key: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs within runs of equal keys (sorted) that agree at each MIN_POSITIONS - 2 positions after the key's: Hamming check; each pair at its first positions only."""
+    """(one, other, Hamming distance) of pairs within runs of equal keys (sorted).
+
+    Those that agree at each MIN_POSITIONS - 2 positions after the key's are counted: a pair that shares MIN_SHARED of
+    all positions is verified by its Hamming distance, any other can't be near. Each pair comes at its first positions only.
+    """
     groups, starts = np.unique(key >> 8, return_index=True)
     for group, a, b in zip(groups.tolist(), starts, [*starts[1:], len(key)]):
         quarter, pair = divmod(group, len(_PAIRS))
@@ -111,97 +125,89 @@ def _matches(key: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -
                     break
                 for part in np.array_split(at, -(-len(at) // 500_000)):
                     dx, dy = x[part] ^ x[part + lag], y[part] ^ y[part + lag]
+                    near = np.flatnonzero(_shared(dx, dy) >= MIN_SHARED)
+                    dx, dy = dx[near], dy[near]
                     distance = np.bitwise_count(dx) + np.bitwise_count(dy)
-                    near = np.flatnonzero(distance <= MAX_DISTANCE)
-                    if not len(near):
+                    close = distance <= MAX_DISTANCE
+                    if not close.any():
                         continue
-                    dx, dy = dx[near], dy[near]
+                    near, dx, dy, distance = near[close], dx[close], dy[close], distance[close]
                     where, positions = _first_equal(dx, dy)
                     first = (where == quarter) & (positions == np.array(head + tail)).all(axis=1)
-                    near, dx, dy = near[first], dx[first], dy[first]
-                    one, two = ids[a:b][order[part[near]]], ids[a:b][order[part[near] + lag]]
-                    shared = sum((d.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for d in (dx, dy)).astype(np.int32)
-                    yield np.minimum(one, two), np.maximum(one, two), distance[near].astype(np.int32), shared
+                    near = part[near[first]]
+                    yield ids[a:b][order[near]], ids[a:b][order[near + lag]], distance[first]
                 lag += 1
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over a partition sorted by key: whole runs of equal keys at a time, the last run carried on."""
+    links = Links()
 
-    def emit(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def emit(parts: list[np.ndarray], last: bool = False) -> Iterator[pa.RecordBatch]:
         for found in _matches(*parts):
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["doc_a", "doc_b", "distance", "shared"])
+            for rows in links.add(*found):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows], names=["id", "first", "links", "nearest"])
+        for rows in links.end() if last else []:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows], names=["id", "first", "links", "nearest"])
 
-    carried: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = [[np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]]
+    rows = 0
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         now[2], now[3] = now[2].astype(np.int64).view(np.uint64), now[3].astype(np.int64).view(np.uint64)
-        if carried is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(carried, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        yield from emit([v[:cut] for v in now])
-        carried = [v[cut:].copy() for v in now]
-    if carried is not None:
-        yield from emit(carried)
+        held.append(now)
+        rows += batch.num_rows
+        if rows >= HELD:
+            whole = [np.concatenate(v) for v in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield from emit([v[:cut] for v in whole])
+            held, rows = [[v[cut:].copy() for v in whole]], 0
+    yield from emit([np.concatenate(v) for v in zip(*held)], last=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, distance, shared): pairs of documents whose 128-bit SimHashes differ in at most MAX_DISTANCE bits.
-
-    The search is exact: a pair agrees in at least MIN_POSITIONS of the eight four-bit positions of some quarter.
-    Documents are posted under each pair of positions that can be the first two of these, with the bits there; within a
-    posting list those that agree in the further positions too are compared, and the Hamming distance decides.
-    ``shared`` counts the equal ones of the 16 bytes. Documents with one fingerprint are searched as one: each of them is paired with
-    the smallest doc_id among them, which stands for all in pairs with others. doc_a < doc_b; each pair comes once.
-
-    The fingerprint is that of the lower-case words, so that case, order, punctuation and white space don't count. Rows
-    without an id or without a word (null, empty or punctuation only) match nothing; repeated rows with one id are one
-    document. An empty table gives no rows. Only doc_id and text are read.
+    """(doc_id, class_id, copies, links, distance): a row for each doc_id, also of documents without near duplicates.
+
+    Documents whose 128-bit SimHashes differ in at most MAX_DISTANCE bits are linked, and the connected ones are a
+    class; ``class_id`` is its smallest doc_id. ``copies`` counts the rows with the document's fingerprint, itself
+    included, ``links`` the other fingerprints to which it is linked, and ``distance`` is the least number of bits to
+    another row (null where there is none).
+
+    The search is exact: a pair agrees in at least MIN_SHARED of 32 four-bit positions, and so in at least
+    MIN_POSITIONS of the eight of some quarter. Fingerprints are posted under each pair of positions that can be the
+    first two of these, with the bits there; within a posting list those that agree in the further positions too have
+    their shared positions counted, and those that reach the minimum are verified by the Hamming distance. Links are
+    counted where they are found, so that a class of many different fingerprints isn't written pair by pair.
+
+    The fingerprint is that of the lower-case words of the whole text, however long, so that case, order, punctuation
+    and white space don't count. Documents without a word (null, empty or punctuation only) have no fingerprint: each is
+    a class of its own, with 1 copy and no link. Rows without an id are left out; repeated rows with one id are one
+    document with so many copies, and an id with several texts has the smallest class of them. An empty table gives no
+    rows. Only doc_id and text are read.
     """
     prints = stage_table(with_fingerprint(docs), "fingerprints")
-    groups = stage_table(prints.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.max("id").alias("last")), "groups")
-    copies = (
-        prints.join(groups.where("id < last").select("hi", "lo", F.col("id").alias("first")), ["hi", "lo"])
-        .where("id > first")
-        .select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(0).alias("distance"), F.lit(BYTES).alias("shared"))
-        .distinct()
+    groups = stage_table(prints.where("hi is not null").groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "groups")
+    postings = groups.select(F.explode(_keys()).alias("key"), F.col("first").alias("id"), "hi", "lo")
+    found = stage_table(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tally, LINKS), "links")
+    classes = components(found.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    counts = found.groupBy(F.col("id").alias("first")).agg(F.sum("links").alias("links"), F.min("nearest").cast("int").alias("nearest"))
+    linked = counts.join(classes.select(F.col("id").alias("first"), F.col("first").alias("class_id")), "first", "left")
+    nodes = groups.join(linked, "first", "left").select(
+        "hi", "lo", "copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.when(F.col("copies") > 1, 0).otherwise(F.col("nearest")).alias("distance")
     )
-    postings = groups.select(F.explode(_keys()).alias("key"), "id", "hi", "lo")
-    pairs = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tally, MATCHES)
-    return pairs.unionByName(copies)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(id, first) for each id in a pair: the smallest id of its connected component.
-
-    Alternates large-star and small-star steps, which halve the longest path, each written to the shared folder, until
-    the edges stay the same.
-    """
-    edges = stage_table(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select("v", "m").where("v <> m").distinct()
-        low = large.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
-        low = stage_table(low, "large-star")
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).where("v <> m")
-        edges = stage_table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("first")).groupBy("id").agg(F.min("first").alias("first"))
-        before = now
+    rows = prints.where("hi is not null").join(nodes, ["hi", "lo"]).select(F.col("id").alias("doc_id"), "class_id", "copies", "links", "distance")
+    bare = prints.where("hi is null").selectExpr("id as doc_id", "id as class_id", "1l as copies", "0l as links", "cast(null as int) as distance")
+    rows = rows.unionByName(bare)
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"), F.max("links").alias("links"), F.min("distance").alias("distance"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id. Columns are unchanged.
 
-    Groups are the connected components of near_duplicates(). Rows without an id or a word all stay. Of the texts, only
+    Groups are the classes of near_duplicates(). Rows without an id or a word all stay. Of the texts, only
     those that a bitmap of the dropped ids does not rule out are shuffled.
     """
-    dropped = stage_table(components(near_duplicates(docs)).select(F.col("id"), F.xxhash64("id").alias("k")), "dropped")
+    dropped = stage_table(near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("k")), "dropped")
     rows = docs.select(F.struct("*").alias("row")).withColumn("k", F.xxhash64(F.col("row.doc_id").cast("bigint")))
     marked = maybe_member(rows, "k", membership(dropped, "k"))
     doubtful = marked.where("maybe_member and row.doc_id is not null").join(dropped.select("id"), F.col("row.doc_id") == F.col("id"), "left_anti")

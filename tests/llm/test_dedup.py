@@ -1,11 +1,9 @@
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from aksharflow.llm import exact_dedup, simhash, textvec
-from aksharflow.llm.common import maybe_member, membership
+from aksharflow.llm.common import Links, components, maybe_member, membership
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -95,23 +93,52 @@ def test_fingerprints_match_the_definition():
         assert n == len([w for w in __import__("re").split(r"[^\w]+", t) if w])
 
 
-def test_simhash_search_is_exact(spark):
+def slow_classes(prints):
+    """By brute force over (id, fingerprint) with one row an id: id -> (class, copies, links, distance)."""
+    at = dict(prints)
+    near = {i: [j for j in at if j != i and (at[i] ^ at[j]).bit_count() <= simhash.MAX_DISTANCE] for i in at}
+    out, done = {}, set()
+    for i in sorted(at):
+        if i in done:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            todo += [j for j in near[todo.pop()] if j not in group and not group.add(j)]
+        done |= group
+        for j in group:
+            others = {at[k] for k in near[j]} - {at[j]}
+            out[j] = (i, 1 + sum(at[k] == at[j] for k in near[j]), len(others), min(((at[j] ^ at[k]).bit_count() for k in near[j]), default=None))
+    return out
+
+
+def classes(df):
+    return {r["doc_id"]: (r["class_id"], r["copies"], r["links"], r["distance"]) for r in df.collect()}
+
+
+def test_simhash_against_brute_force(spark):
+    rows = corpus()
+    rows += [(1000 + i, rows[i * 3][1].upper()) for i in range(8)]
+    expected = slow_classes([(i, slow_fingerprint(t)) for i, t in rows])
+    found = simhash.near_duplicates(docs(spark, rows))
+    assert found.count() == len(rows) and classes(found) == expected
+    assert sum(c[2] for c in expected.values()) > 40 and {c[1] for c in expected.values()} == {1, 2}
+    kept = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({c[0] for c in expected.values()})
+
+
+def test_simhash_query_against_brute_force(spark, tmp_path):
+    """The registered query over its whole table."""
+    from aksharflow.llm.queries import QUERIES
+
     rows = corpus()
-    prints = [slow_fingerprint(t) for _, t in rows]
-    expected = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= simhash.MAX_DISTANCE}
-    found = simhash.near_duplicates(docs(spark, rows)).collect()
-    got = {(r["doc_a"], r["doc_b"]) for r in found}
-    assert len(found) == len(got) and all(r["distance"] == (prints[r["doc_a"]] ^ prints[r["doc_b"]]).bit_count() and r["shared"] >= simhash.MIN_SHARED for r in found)
-    first = {}
-    stands = [first.setdefault(p, i) for i, p in enumerate(prints)]
-    reach = {(min(stands[i], stands[j]), max(stands[i], stands[j])) for i, j in expected if stands[i] != stands[j]} | {(stands[i], i) for i in range(len(rows)) if stands[i] != i}
-    assert got == reach and len(expected) > 20
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert classes(QUERIES["op1_simhash"](spark, str(tmp_path))) == slow_classes([(i, slow_fingerprint(t)) for i, t in rows])
 
 
 def test_simhash_edges(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, "alpha beta gamma"), (5, "Gamma, beta; ALPHA!"), (None, "alpha beta gamma"), (4, "alpha beta gamma"), (6, "alpha beta gamma " * 30_000)]
-    found = {tuple(r) for r in simhash.near_duplicates(docs(spark, rows)).collect()}
-    assert found == {(4, 5, 0, 16), (4, 6, 0, 16)}
+    lone = (1, 0, None)
+    assert classes(simhash.near_duplicates(docs(spark, rows))) == {1: (1, *lone), 2: (2, *lone), 3: (3, *lone), 4: (4, 4, 0, 0), 5: (4, 4, 0, 0), 6: (4, 4, 0, 0)}
     kept = simhash.drop_near_duplicates(docs(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2, 3, 4, 4]
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.drop_near_duplicates(docs(spark, [])).count() == 0
@@ -119,14 +146,47 @@ def test_simhash_edges(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 30)] + [(1, 5), (3, 5), (2, 3), (7, 8)]
-    got = {r["id"]: r["first"] for r in simhash.components(spark.createDataFrame(edges, "doc_a bigint, doc_b bigint")).collect()}
+    got = {r["id"]: r["first"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 10 for i in range(11, 31)} | {5: 1, 3: 1, 2: 1, 8: 7}
-    assert simhash.components(spark.createDataFrame([], "doc_a bigint, doc_b bigint")).count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_are_summed_up():
+    """Gathered in small parts or at once, the counts, nearest links and connections are those of the links themselves."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 40, (2, 60))
+    a, b, far = a[a != b], b[a != b], rng.integers(0, 9, (a != b).sum()).astype(float)
+    for most in (1, 7, 1000):
+        links = Links(most)
+        rows = [r for i in range(len(a)) for r in links.add(a[i : i + 1], b[i : i + 1], far[i : i + 1])] + links.end()
+        count, near, edges = {}, {}, []
+        for r in rows:
+            for i, first, n, d in zip(*(v.tolist() for v in r)):
+                count[i], near[i] = count.get(i, 0) + n, min(near.get(i, 99), d)
+                edges.append((first, i))
+        both = [*zip(a.tolist(), b.tolist(), far.tolist()), *zip(b.tolist(), a.tolist(), far.tolist())]
+        assert count == {i: sum(x == i for x, _, _ in both) for i in {x for x, _, _ in both}}
+        assert near == {i: min(d for x, _, d in both if x == i) for i in count}
+        reach = lambda pairs: {i: min(_reached(pairs, i)) for i in count}
+        assert reach(edges) == reach([(x, y) for x, y, _ in both])
+
+
+def _reached(pairs, start):
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        for x, y in pairs:
+            for p, q in ((x, y), (y, x)):
+                if p == at and q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+    return seen
 
 
 def test_hot_groups_are_whole(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the same few words in all").alias("text"))
-    assert exact_dedup.exact_duplicates(df).count() == 399 == simhash.near_duplicates(df).count()
+    assert exact_dedup.exact_duplicates(df).count() == 399
+    assert {r["copies"] for r in simhash.near_duplicates(df).collect()} == {400}
     assert simhash.drop_near_duplicates(df).first()["doc_id"] == 0
 
 
@@ -140,7 +200,7 @@ def test_simhash_finds_edited_copies(spark):
         copy = base.copy()
         copy[rng.choice(216, 8, replace=False)] = [f"new{g}x{i}" for i in range(8)]
         rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
-    found = {(r["doc_a"], r["doc_b"]) for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    found = {(r["class_id"], r["doc_id"]) for r in simhash.near_duplicates(docs(spark, rows)).collect() if r["class_id"] != r["doc_id"]}
     wanted = {(2 * g, 2 * g + 1) for g in range(40)}
     assert not found - wanted and len(found) >= 0.95 * len(wanted)
 
@@ -164,4 +224,4 @@ def test_simhash_positions_guarantee_the_distance():
         key, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         hi, lo = (np.array([r[k] for r in rows], np.uint64) for k in (2, 3))
         found = [p for part in simhash._matches(key, ids, hi, lo) for p in zip(*(v.tolist() for v in part))]
-        assert [p[:3] for p in found] == [(0, 1, len(bits))]
+        assert [(*sorted(p[:2]), p[2]) for p in found] == [(0, 1, len(bits))]
