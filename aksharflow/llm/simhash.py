@@ -24,6 +24,8 @@ _PAIRS = list(combinations(range(8 - MIN_POSITIONS + 2), 2))
 PART = 4096
 #: Postings that a task gathers before it searches their lists.
 HELD = 1 << 17
+#: Pairs that are compared at a time, few enough for the cache.
+CACHED = 1 << 13
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 POSTINGS = "key int, id bigint, hi bigint, lo bigint"
 LINKS = "id bigint, first bigint, links bigint, nearest double"
@@ -84,12 +86,17 @@ def _keys() -> Column:
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of differences between halves, how many of the 32 four-bit positions are 0."""
-    apart = np.zeros(len(x), np.uint8)
+    marks = []
     for half in (x, y):
-        any_bit = half | half >> np.uint64(1)
-        any_bit |= any_bit >> np.uint64(2)
-        apart += np.bitwise_count(any_bit & np.uint64(0x1111111111111111))
-    return 32 - apart
+        bit = half >> np.uint64(1)
+        bit |= half
+        more = bit >> np.uint64(2)
+        bit |= more
+        bit &= np.uint64(0x1111111111111111)
+        marks.append(bit)
+    marks[1] <<= np.uint64(1)
+    marks[0] |= marks[1]
+    return 32 - np.bitwise_count(marks[0])
 
 
 def _first_equal(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def _matches(key: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -
                 at = at[run[at] == run[at + lag]]
                 if not len(at):
                     break
-                for part in np.array_split(at, -(-len(at) // 500_000)):
+                for part in np.array_split(at, -(-len(at) // CACHED)):
                     dx, dy = x[part] ^ x[part + lag], y[part] ^ y[part + lag]
                     near = np.flatnonzero(_shared(dx, dy) >= MIN_SHARED)
                     dx, dy = dx[near], dy[near]
