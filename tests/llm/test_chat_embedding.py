@@ -80,33 +80,91 @@ def vectors(n=600, seed=0):
     return x.astype(np.float32)
 
 
-def test_recall_against_brute_force(spark):
-    x = vectors()
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    rows = embedding.near_duplicates(df).collect()
+def brute(ids, x, threshold=embedding.THRESHOLD):
+    """id -> (class, copies, links, cosine) of distinct ids with vectors of one length."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sims = u.astype(float) @ u.T.astype(float)
-    truth = {(i, j) for i, j in zip(*np.nonzero(np.triu(sims >= embedding.THRESHOLD, 1)))}
-    got = {(r["id_a"], r["id_b"]) for r in rows}
-    assert len(got) == len(rows) and (100, 200) in got
-    assert len(got & truth) >= 0.95 * len(truth) and all(sims[p] > embedding.THRESHOLD - 1e-5 for p in got)
-    assert {r["recall"] for r in rows} <= {round(k / 10_000, 4) for k in range(9000, 10_001)}
+    u = u.astype(np.float32).astype(float)
+    sims = u @ u.T
+    out, done = {}, set()
+    near = [[j for j in np.flatnonzero(sims[i] >= threshold).tolist() if j != i] for i in range(len(x))]
+    for i in range(len(x)):
+        if i in done:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            todo += [j for j in near[todo.pop()] if j not in group and not group.add(j)]
+        done |= group
+        for j in group:
+            same = [k for k in near[j] if np.array_equal(u[k], u[j])]
+            others = {u[k].tobytes() for k in near[j]} - {u[j].tobytes()}
+            out[ids[j]] = (min(ids[k] for k in group), 1 + len(same), len(others), 1.0 if same else max((round(sims[j, k], 5) for k in near[j]), default=None))
+    return out
+
+
+def table(spark, x, ids=None):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids or range(len(x)), x)], "vec_id bigint, embedding array<float>")
+
+
+def result(df):
+    return {r["vec_id"]: (r["class_id"], r["copies"], r["links"], r["cosine"]) for r in df.collect()}
+
+
+def test_embeddings_against_brute_force(spark, tmp_path):
+    """Small clusters, so that there are many; the registered query with one; groups within the threshold keep all links."""
+    from aksharflow.llm.queries import QUERIES
+
+    x = vectors()
+    expected = brute(list(range(len(x))), x)
+    out = embedding.near_duplicates(table(spark, x), cluster=60)
+    got, recall = result(out), out.first()["recall"]
+    links = sum(e[2] for e in expected.values())
+    assert set(got) == set(expected) and recall >= 0.9 and abs(sum(g[2] for g in got.values()) - recall * links) < 0.01 * links
+    assert all(g[2] <= expected[i][2] and g[1] == expected[i][1] for i, g in got.items())
+    assert np.mean([got[i][0] == expected[i][0] for i in got]) > 0.97
+    table(spark, x).write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole = QUERIES["op7_embedding_dedup"](spark, str(tmp_path))
+    assert result(whole) == expected and whole.first()["recall"] == 1.0
+
+
+def test_search_is_repeated_until_recall_is_reached(spark):
+    """Unclustered vectors in many small clusters: few probes miss links, and more are taken."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 24))
+    x[1::2] = x[::2] + rng.normal(size=(450, 24)) * 0.29
+    out = embedding.near_duplicates(table(spark, x.astype(np.float32)), cluster=10, probes=1)
+    expected = brute(list(range(900)), x.astype(np.float32))
+    assert out.first()["recall"] >= embedding.LEAST_RECALL
+    assert sum(r[2] for r in result(out).values()) >= 0.88 * sum(e[2] for e in expected.values())
 
 
 def test_prune_keeps_the_nearest():
     x = np.array([[1, 0], [0.999, 0.04], [0.998, 0.06], [-1, 0.1]], np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     sims = x[1:] @ x[0]
-    assert embedding.prune(np.array([1, 2, 3]), sims, x, 3)[0] == 1
-    assert 2 not in embedding.prune(np.array([1, 2, 3]), sims, x, 3)
+    kept = embedding.prune(np.array([[1, 2, 3]]), sims[None], x, 3)[0]
+    assert kept[0] == 1 and 2 not in kept
+
+
+def test_two_level_centres_match_brute_force():
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(40, 8)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    at = embedding.Centres(c)
+    assert sorted(map(tuple, at.centres.tolist())) == sorted(map(tuple, c.tolist()))
+    x = c + rng.normal(size=c.shape).astype(np.float32) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(a[0] == (at.centres @ v).argmax() and len(a) == 3 for a, v in zip(at.nearest(x, 3), x))
+    assert all(len(a) == 40 for a in at.nearest(x, 1, -1.5))
 
 
 def test_embedding_edges(spark):
     v = [1.0] + [0.0] * 7
     w = [0.0] * 7 + [2.0]
-    rows = [(1, v), (2, v), (2, v), (3, [2 * a for a in v]), (None, v), (4, None), (5, []), (6, [0.0] * 8), (7, [float("nan")] + [0.0] * 7), (8, w), (9, [0.01] * 7 + [2.0])]
+    rows = [(1, v), (2, v), (2, v), (3, [2 * a for a in v]), (None, v), (4, None), (5, []), (6, [0.0] * 8), (7, [float("nan")] + [0.0] * 7), (8, w), (9, [0.01] * 7 + [2.0]), (10, [1.0]), (11, [1.0, 0.0]), (12, [3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("shard", F.lit(1)).withColumn("v", F.lit("v"))
-    got = {(r["id_a"], r["id_b"]) for r in embedding.near_duplicates(df).collect()}
-    assert got == {(1, 2), (1, 3), (8, 9)}
+    got = result(embedding.near_duplicates(df))
+    lone = (1, 0, None)
+    assert {i: g[:3] for i, g in got.items() if i in (8, 9)} == {8: (8, 1, 1), 9: (8, 1, 1)} and got[8][3] == got[9][3] > 0.99
+    assert {i: g for i, g in got.items() if i not in (8, 9)} == {1: (1, 4, 0, 1.0), 2: (1, 4, 0, 1.0), 3: (1, 4, 0, 1.0), **{i: (i, *lone) for i in (4, 5, 6, 7, 11)}, 10: (10, 2, 0, 1.0), 12: (10, 2, 0, 1.0)}
     assert embedding.near_duplicates(df.limit(0)).count() == 0
-    assert embedding.near_duplicates(df.where("vec_id = 1")).count() == 0
+    assert result(embedding.near_duplicates(df.where("vec_id = 8"))) == {8: (8, *lone)}
