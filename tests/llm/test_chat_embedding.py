@@ -40,7 +40,9 @@ def test_round_trip(spark):
         tokens, positions, last, chain = got[c]
         assert tokens == [x for r, t in talk for x in chat.encode_turn(chat.VOCABULARY, r, t)]
         assert positions == list(range(len(tokens)))
-        assert [tuple(a) for a in last["attends"]] == [(n["start"], n["start"] + len(n["token_ids"])) for n in chain[:-1]]
+        spans = [tuple(a) for a in last["attends"]]
+        assert [i for a, b in spans for i in range(a, b)] == [i for n in chain[:-1] for i in range(n["start"], n["start"] + len(n["token_ids"]))]
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
     prefixes = {tuple(t[: i + 1]) for t in TALKS.values() for i in range(len(t))}
     assert len(rows) == len(prefixes)
 
@@ -80,6 +82,38 @@ def vectors(n=600, seed=0):
     return x.astype(np.float32)
 
 
+def test_nodes_are_told_apart(spark):
+    """Roles and texts whose concatenations would be equal, and nulls beside signs that could stand for them."""
+    talks = {1: [("a", "b\x01c")], 2: [("a\x01b", "c")], 3: [("r", None)], 4: [("r", "\x00")], 5: [("r", "")], 6: [("r", "-")], 7: [("a1:", "b")], 8: [("a", "1:b")], 9: [(None, "b")], 10: [("", "b")]}
+    rows = chat.prefix_trees(turns(spark, talks)).collect()
+    assert len({r["node"] for r in rows}) == len(rows) == 10
+
+
+def test_deep_and_wide_trees_by_brute_force(spark):
+    """One shared beginning, forks at any depth, a conversation of 400 turns: layout and intervals as a recursive walk gives them."""
+    rng = np.random.default_rng(1)
+    talks = {i: [("s", "same")] + [("u", f"t{d}-{rng.integers(2)}") for d in range(int(rng.integers(0, 9)))] for i in range(60)}
+    talks[100] = [("s", "same")] + [("u", f"long {d}") for d in range(400)]
+    rows = chat.prefix_trees(turns(spark, talks)).collect()
+    got = unrolled(rows)
+    assert set(got) == set(talks) and len({r["tree"] for r in rows}) == 1
+    own = sorted(rows, key=lambda r: r["start"])
+    assert all(a["start"] + len(a["token_ids"]) == b["start"] for a, b in zip(own, own[1:])) and own[0]["start"] == 0
+    for c, talk in talks.items():
+        tokens, positions, last, chain = got[c]
+        assert tokens == [x for r, t in talk for x in chat.encode_turn(chat.VOCABULARY, r, t)] and positions == list(range(len(tokens)))
+        assert [i for a in last["attends"] for i in range(a["start"], a["end"])] == [i for n in chain[:-1] for i in range(n["start"], n["start"] + len(n["token_ids"]))]
+
+
+def test_many_conversations_end_alike(spark, monkeypatch):
+    """A node's ends go on in further rows, none longer than about the bound, and none is lost."""
+    monkeypatch.setattr(chat, "MOST_ENDS", 10)
+    talks = {i: [("u", "hi")] for i in range(200)} | {500: [("u", "hi"), ("a", "x")]}
+    rows = chat.prefix_trees(turns(spark, talks)).collect()
+    assert sorted(c for r in rows for c in r["ends"]) == sorted(talks)
+    assert len({r["node"] for r in rows}) == 2 and max(len(r["ends"]) for r in rows) < 30 and sum(r["token_ids"] is not None for r in rows) == 2
+
+
 def brute(ids, x, threshold=embedding.THRESHOLD):
     """id -> (class, copies, links, cosine) of distinct ids with vectors of one length."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
