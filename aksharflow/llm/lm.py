@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fcntl
 import heapq
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -20,22 +21,25 @@ from pyspark.sql import functions as F
 from .common import shared_dir, text_of
 from .textvec import chunks
 
-#: Bytes of context that each predictor hashes.
-ORDERS = (1, 2, 4)
-#: A table has 2**bits entries: about one for 512 bytes of the corpus, without an upper bound.
-MIN_BITS, BYTES_PER_ENTRY_BITS = 16, 9
+#: Bytes of context that each predictor with a table hashes; one more predictor, of one byte, has its counts in the code.
+ORDERS = (2, 4)
+#: A table has 2**bits entries: about one for 256 bytes of the corpus, without an upper bound.
+MIN_BITS, BYTES_PER_ENTRY_BITS = 16, 8
 #: A task counts tables of up to so many bits in arrays of their size, and larger ones by sorting RUN decisions at a time into at most HELD entries a table.
 DENSE_BITS, RUN, HELD = 22, 1 << 22, 1 << 22
 #: Hashes of 32 bits serve tables of up to so many; beyond, they have 64.
 NARROW_BITS = 32
 #: Added to both counts of an entry.
 PRIOR = 0.2
-#: Bytes of a document that are predicted with the same weights before these are refined.
-BLOCK = 512
-RATE = 0.3
-#: Weights of the predictors at a document's start, by gate: how sure the longest context is.
-GATE_EDGES = np.array([0.05, 1.0, 3.0], np.float32)
-START = np.array([[0.25, 0.75, 0.0], [0.2, 0.6, 0.4], [0.1, 0.4, 0.6], [0.05, 0.25, 0.8]], np.float32)
+#: Bytes that a document is predicted with the same weights before these are refined: STEP at first, GROWTH times as many after each REPEATS refinements, up to LONGEST_STEP.
+STEP, GROWTH, REPEATS, LONGEST_STEP = 8, 2, 4, 256
+#: How far a refinement goes along the mean slope of a gate's decisions, which counts as WARM of them more.
+RATE, WARM = 1.5, 8
+#: Weights of the predictors at a document's start, by gate: how often the longest context was met before.
+GATE_EDGES = np.array([0.5, 4.0, 32.0], np.float32)
+START = np.array([[0.3, 0.8, 0.0], [0.2, 0.7, 0.2], [0.1, 0.5, 0.5], [0.05, 0.25, 0.75]], np.float32)
+#: Bits of a decision's place among those that are counted at a time.
+PLACE_BITS = 21
 #: Tables are cut into at least SHARDS ranges of slots, none longer than MOST_SPAN.
 SHARDS, MOST_SPAN = 64, 1 << 16
 SCHEMA = "doc_id bigint, bytes bigint, bits double, bits_per_byte double"
@@ -47,23 +51,26 @@ class Code:
     """A binary code for the next byte given the last: each step of a byte's path is one bit prediction.
 
     ``start`` and ``size`` (65,536 entries) give a byte pair's path within ``step``, whose entries hold the hash of the
-    decision's node in the upper bits and the bit itself in the lowest.
+    decision's node in the upper bits and the bit itself in the lowest. ``odds`` are the log odds of a 1 at each step by
+    how often the corpus has it after the last byte.
     """
 
     start: np.ndarray
     size: np.ndarray
     step: np.ndarray
+    odds: np.ndarray
 
 
-def _paths(weight: list[int]) -> list[list[tuple[int, int]]]:
-    """For each of 256 symbols its path (node, bit) in the Huffman tree of these weights."""
+def _paths(weight: list[int]) -> list[list[tuple[int, int, float]]]:
+    """For each of 256 symbols its path (node, bit, log odds of a 1) in the Huffman tree of these weights."""
     heap = [(w, i, i) for i, w in enumerate(weight)]
     heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
+    parent: dict[int, tuple[int, int, float]] = {}
     node = 256
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[2]], parent[b[2]] = (node, 0), (node, 1)
+        odds = math.log(b[0] / a[0])
+        parent[a[2]], parent[b[2]] = (node, 0, odds), (node, 1, odds)
         heapq.heappush(heap, (a[0] + b[0], node, node))
         node += 1
     out = []
@@ -87,17 +94,18 @@ def _hash_type(bits: int) -> type:
 
 def make_code(pairs: np.ndarray, kind: type = np.uint32) -> Code:
     """From the counts (256 x 256) of each byte after each byte; no pair is without a path. ``kind`` is the type of hashes."""
-    start, size, step = np.zeros(65536, np.int64), np.zeros(65536, np.int64), []
+    start, size, step, odds = np.zeros(65536, np.int64), np.zeros(65536, np.int64), [], []
     at = 0
     for last in range(256):
         for byte, path in enumerate(_paths((pairs[last].astype(int) * 256 + 1).tolist())):
             start[last << 8 | byte], size[last << 8 | byte] = at, len(path)
-            step += [(last * 512 + node) << 1 | bit for node, bit in path]
+            step += [(last * 512 + node) << 1 | bit for node, bit, _ in path]
+            odds += [o for _, _, o in path]
             at += len(path)
     flat = np.array(step, np.uint64)
     h = (flat >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = h >> np.uint64(31) if kind is np.uint32 else h ^ (h >> np.uint64(31))
-    return Code(start, size, ((h.astype(kind) & ~kind(1)) | (flat & np.uint64(1)).astype(kind)))
+    return Code(start, size, ((h.astype(kind) & ~kind(1)) | (flat & np.uint64(1)).astype(kind)), np.array(odds, np.float32))
 
 
 def _before(data: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
@@ -126,10 +134,10 @@ def contexts(data: np.ndarray, offs: np.ndarray, kind: type = np.uint32) -> tupl
 
 
 def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(decisions of each byte, step of each decision)."""
+    """(decisions of each byte, place of each decision in the code)."""
     size = code.size[pair]
     shift = code.start[pair] - (np.cumsum(size) - size)
-    return size, code.step[np.repeat(shift, size) + np.arange(size.sum())]
+    return size, np.repeat(shift, size) + np.arange(size.sum())
 
 
 def _slots(context: np.ndarray, size: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
@@ -137,11 +145,57 @@ def _slots(context: np.ndarray, size: np.ndarray, step: np.ndarray, bits: int) -
     return (np.repeat(context, size) ^ step) & context.dtype.type((1 << bits) - 1)
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """For each entry the log odds of its own outcome, from the counts of both without the one occurrence in hand."""
-    two = counts.reshape(-1, 2).astype(np.float64)
-    own = np.maximum(two - 1, 0) + PRIOR
-    return (np.log(own) - np.log(two[:, ::-1] + PRIOR)).reshape(-1).astype(np.float32)
+def place_keys(owner: np.ndarray, bit: np.ndarray, bits: int, rows: int) -> np.ndarray | None:
+    """Of each decision its document, room for a table's pair of entries, its place and its bit, in one number; None where they don't fit."""
+    if len(owner) > 1 << PLACE_BITS or bits - 1 + max(1, rows - 1).bit_length() + PLACE_BITS + 1 > 64:
+        return None
+    return owner.astype(np.uint64) << np.uint64(bits + PLACE_BITS) | np.arange(len(owner), dtype=np.uint64) << np.uint64(1) | bit.astype(np.uint64)
+
+
+def counts_so_far(table: np.ndarray, slots: np.ndarray, bits: int, owner: np.ndarray, bit: np.ndarray, keys: np.ndarray | None, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, 0s, 1s) of decisions in some order: what their table entries count without their document, and it so far.
+
+    ``counted``: the table counts the document, so that what is ahead in it, the decision included, is taken off; else
+    what came before is added.
+    """
+    n = len(slots)
+    if keys is not None:
+        key = (slots & ~slots.dtype.type(1)).astype(np.uint64) << np.uint64(PLACE_BITS)
+        key |= keys
+        key.sort()
+        at = (key >> np.uint64(1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        b = (key & np.uint64(1)).astype(np.int32)
+        key >>= np.uint64(PLACE_BITS + 1)
+        new = key[1:] != key[:-1]
+        key &= np.uint64((1 << bits - 1) - 1)
+        pair = key.astype(np.int64)
+    else:  # a long text, or wide entries: by order instead
+        pair = (slots >> slots.dtype.type(1)).astype(np.int64)
+        at = np.lexsort((pair, owner))
+        b, pair = bit[at].astype(np.int32), pair[at]
+        new = (pair[1:] != pair[:-1]) | (owner[at][1:] != owner[at][:-1])
+    first = np.concatenate([[0], np.flatnonzero(new) + 1]).astype(np.int32)
+    size = np.diff(first, append=np.int32(n))
+    ones = np.cumsum(b, dtype=np.int32)
+    both = np.take(table.view(np.complex64), pair)
+    n0, n1 = both.real, both.imag
+    if counted:
+        left1 = np.repeat(ones[first + size - 1], size) - ones + b
+        left = np.repeat(first + size, size) - np.arange(n, dtype=np.int32)
+        return at, np.maximum(n0 - (left - left1), 0), np.maximum(n1 - left1, 0)
+    past1 = ones - b - np.repeat(ones[first] - b[first], size)
+    past = np.arange(n, dtype=np.int32) - np.repeat(first, size)
+    return at, n0 + (past - past1), n1 + past1
+
+
+def _steps(longest: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of the bytes that are predicted between refinements, the same for every document."""
+    at, step, times = 0, STEP, 0
+    while at < longest:
+        yield at, at + step
+        at, times = at + step, times + 1
+        if times == REPEATS:
+            step, times = min(step * GROWTH, LONGEST_STEP), 0
 
 
 def _add_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +246,14 @@ def _open_tables(at: str, bits: int, span: int) -> list[np.ndarray]:
     """The tables as mapped files, one for all processes that see the same folder: built by the first that asks."""
     url = urlparse(at)
     folder = url.path if url.scheme in ("", "file") else SparkFiles.get(os.path.basename(url.path))
-    whole, size = folder + ".odds", len(ORDERS) << bits
+    whole, size = folder + ".counts", len(ORDERS) << bits
     with open(folder + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(whole):
             flat = np.memmap(whole + ".part", np.float32, "w+", shape=(size,))
             for batch in pyarrow.dataset.dataset(folder, format="parquet").to_batches(batch_size=64, batch_readahead=1, fragment_readahead=1):
-                for shard, odds in zip(batch.column("shard").to_pylist(), batch.column("odds").to_pylist()):
-                    flat[shard * span : (shard + 1) * span] = np.frombuffer(odds, np.float32)
+                for shard, counts in zip(batch.column("shard").to_pylist(), batch.column("counts").to_pylist()):
+                    flat[shard * span : (shard + 1) * span] = np.frombuffer(counts, np.float32)
             flat.flush()
             del flat
             os.replace(whole + ".part", whole)
@@ -225,41 +279,66 @@ class Model:
             self.mapped = _open_tables(self.at, self.bits, self.span)
         return self.mapped
 
-    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, bits) of each text: weights start anew in each and are refined after each BLOCK bytes."""
-        n, tables, kind = len(text), self.tables, _hash_type(self.bits)
+    def predictions(self, data: np.ndarray, offs: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(decisions of each byte, the bit of each decision, its log odds of a 1 by each predictor, its gate).
+
+        A predictor's counts are those of all other documents, and of this one so far: the tables' without what is ahead
+        in the document. ``counted``: whether the tables count these documents.
+        """
+        kind, rows = _hash_type(self.bits), len(offs) - 1
+        pair, hashes = contexts(data, offs, kind)
+        size, place = decisions(self.code, pair)
+        step = self.code.step[place]
+        owner = np.repeat(np.repeat(np.arange(rows, dtype=np.int32), np.diff(offs)), size)
+        bit = step & kind(1)
+        keys = place_keys(owner, bit, self.bits, rows)
+        odds, prior = np.empty((len(step), 1 + len(ORDERS)), np.float32), np.float32(PRIOR)
+        odds[:, 0] = self.code.odds[place]
+        for i, (table, h) in enumerate(zip(self.tables, hashes)):
+            at, n0, n1 = counts_so_far(table, _slots(h, size, step, self.bits), self.bits, owner, bit, keys, counted)
+            n0, n1 = n0.astype(np.float32, copy=False), n1.astype(np.float32, copy=False)
+            odds[at, i + 1] = np.log((n1 + prior) / (n0 + prior))
+        met = n0 + n1
+        gate = np.empty(len(step), np.int8)
+        gate[at] = (met >= GATE_EDGES[0]).astype(np.int8) + (met >= GATE_EDGES[1]) + (met >= GATE_EDGES[2])
+        return size, bit.astype(np.float32), odds, gate
+
+    def score(self, text: pa.Array, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, bits) of each text: weights start anew in each and are refined as it goes on."""
+        n = len(text)
         size_of, total = np.zeros(n, np.int64), np.zeros(n)
-        for at, end, data, offs in chunks(text, 1 << 19):
+        for at, end, data, offs in chunks(text, 1 << 17):
             size_of[at:end] = np.diff(offs)
             if not len(data):
                 continue
-            pair, hashes = contexts(data, offs, kind)
-            rows, gates, k = end - at, len(START), len(ORDERS)
-            weights = np.tile(START.T[:, None, :], (1, rows, 1)).reshape(k, rows * gates)
+            size, bit, odds, gate = self.predictions(data, offs, counted)
+            rows, gates = end - at, len(START)
+            weights = np.tile(START, (rows, 1))
             length = np.diff(offs)
             order = np.argsort(-length, kind="stable")
             falling = -length[order]
-            for lo in range(0, int(length.max()), BLOCK):
+            begin = np.concatenate([[0], np.cumsum(size)])
+            for lo, hi in _steps(int(length.max())):
                 live = order[: np.searchsorted(falling, -lo)]
-                part = np.minimum(length[live] - lo, BLOCK)
-                byte = np.repeat(offs[live] + lo - (np.cumsum(part) - part), part) + np.arange(part.sum())
-                size, step = decisions(self.code, pair[byte])
-                odds = [np.take(t, _slots(h[byte], size, step, self.bits)) for t, h in zip(tables, hashes)]
-                sure = np.abs(odds[-1])
-                gate = (sure >= GATE_EDGES[0]).astype(np.int32) + (sure >= GATE_EDGES[1]) + (sure >= GATE_EDGES[2])
-                cell = np.repeat(np.repeat((live * gates).astype(np.int32), part), size) + gate
-                mixed = sum(np.take(w, cell) * o for w, o in zip(weights, odds))
+                part = np.minimum(length[live], hi) - lo
+                a, b = begin[offs[live] + lo], begin[offs[live] + lo + part]
+                times = b - a
+                ends = np.cumsum(times)
+                pick = np.repeat(a - (ends - times), times) + np.arange(ends[-1])
+                cell = np.repeat(live * gates, times) + gate[pick]
+                x = odds[pick]
+                mixed = np.einsum("ij,ij->i", x, weights[cell])
                 np.clip(mixed, -14, 14, out=mixed)
-                lost = np.exp(-mixed)
-                cost = np.log(1 + lost)
-                ends = np.cumsum(np.add.reduceat(size, np.cumsum(part) - part))
-                sums = np.add.reduceat(cost, np.concatenate([[0], ends[:-1]]), dtype=np.float64)
-                total[at + live] += sums
-                if (part == BLOCK).any():
-                    slope = lost / (1 + lost)
-                    times = np.maximum(np.bincount(cell, minlength=rows * gates), 1)
-                    for w, o in zip(weights, odds):
-                        w += (RATE * np.bincount(cell, slope * o, rows * gates) / times).astype(np.float32)
+                sign = 1 - 2 * bit[pick]
+                mixed *= sign
+                lost = np.exp(mixed)
+                lost += 1
+                total[at + live] += np.add.reduceat(np.log(lost), ends - times, dtype=np.float64)
+                if (part == hi - lo).any():
+                    slope = (1 / lost - 1) * sign
+                    rate = RATE / (np.maximum(np.bincount(cell, minlength=rows * gates), 1) + WARM)
+                    for k in range(x.shape[1]):
+                        weights[:, k] += rate * np.bincount(cell, slope * x[:, k], rows * gates)
         return size_of, total / np.log(2)
 
 
@@ -302,7 +381,8 @@ def fit(docs: DataFrame) -> Model:
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0)):
                 pair, hashes = contexts(data, offs, kind)
-                size, step = decisions(code, pair)
+                size, place = decisions(code, pair)
+                step = code.step[place]
                 for table, (c, h) in enumerate(zip(counters, hashes)):
                     c.add(_slots(h, size, step, bits))
                     if c.full():
@@ -314,7 +394,7 @@ def fit(docs: DataFrame) -> Model:
         """Over a partition sorted by shard: one of them is held at a time."""
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([log_odds(total).tobytes()])], names=["shard", "odds"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.astype(np.float32).tobytes()])], names=["shard", "counts"])
 
         now, total = -1, np.zeros(span, np.int64)
         for batch in batches:
@@ -329,8 +409,8 @@ def fit(docs: DataFrame) -> Model:
             yield done()
 
     counted = texts.mapInArrow(count_outcomes, "shard bigint, entry binary, n binary")
-    gathered = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(add_up, "shard bigint, odds binary")
-    at = f"{shared_dir(spark).rstrip('/')}/odds-{uuid.uuid4().hex}"
+    gathered = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(add_up, "shard bigint, counts binary")
+    at = f"{shared_dir(spark).rstrip('/')}/counts-{uuid.uuid4().hex}"
     gathered.write.parquet(at)
     if urlparse(at).scheme not in ("", "file"):
         spark.sparkContext.addFile(at, recursive=True)
@@ -341,9 +421,11 @@ def perplexity(docs: DataFrame) -> DataFrame:
     """(doc_id, bytes, bits, bits_per_byte) for each row of ``docs``: what each whole text costs under a model of all texts.
 
     A byte is coded by the decisions on its path in a Huffman tree that the byte before it selects. Each decision is
-    predicted from hashed contexts of ORDERS bytes, with counts over the whole corpus less the occurrence in hand; the
-    predictions' log odds are mixed with weights that are gated by how sure the longest context is, and refined by
-    gradient steps within the document. A document's result does not depend on what shares its batch or partition.
+    predicted from hashed contexts of ORDERS bytes, by counts over all other documents and over this one so far, so
+    that the two outcomes' probabilities sum to one and nothing ahead in the text is used. The predictions' log odds are
+    mixed with weights that are gated by how often the longest context was met, and refined by gradient steps as the
+    document goes on, short ones included. A document's result does not depend on what shares its batch or partition.
+    Very long texts are scored whole; a text takes about 200 bytes of a worker's memory a byte.
     Null and empty texts have 0 bytes, 0 bits and null bits_per_byte. Repeated rows count as often as they occur and
     get equal results. An empty table gives no rows. Only doc_id and text are read.
     """

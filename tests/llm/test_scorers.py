@@ -152,32 +152,48 @@ def test_language(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
-def slow_bits(model, text):
-    """The definition for one document, decision by decision."""
-    data = text.encode()
-    w = lm.START.astype(float).copy()
-    total = 0.0
-    for block in range(0, len(data), lm.BLOCK):
+def slow_decisions(model, data):
+    """The definition: (bit, odds by the code, entries of the tables) of each decision of each byte."""
+    out = []
+    for i in range(len(data)):
+        past = lambda k: data[i - k] if i >= k else 0
+        hashes = []
+        for order in lm.ORDERS:
+            h = np.array([order], np.uint32)
+            for k in range(1, order + 1):
+                h = (h ^ np.uint32(past(k))) * lm._MIX[0]
+                h ^= h >> np.uint32(15)
+            hashes.append(int((h * lm._MIX[1])[0]) & 0xFFFFFFFE)
+        pair = past(1) << 8 | data[i]
+        places = range(model.code.start[pair], model.code.start[pair] + model.code.size[pair])
+        out.append([(int(model.code.step[p]) & 1, float(model.code.odds[p]), [(h ^ int(model.code.step[p])) & ((1 << model.bits) - 1) for h in hashes]) for p in places])
+    return out
+
+
+def slow_bits(model, texts, which):
+    """Bits of one of ``texts``, decision by decision: tallies of all others and of it so far."""
+    tally = [{} for _ in lm.ORDERS]
+    for i, text in enumerate(texts):
+        if i != which:
+            for _, _, slots in (d for byte in slow_decisions(model, text.encode()) for d in byte):
+                for t, slot in zip(tally, slots):
+                    t[slot] = t.get(slot, 0) + 1
+    data = texts[which].encode()
+    made, w, total = slow_decisions(model, data), lm.START.astype(float).copy(), 0.0
+    for lo, hi in lm._steps(len(data)):
         sums, times = np.zeros_like(w), np.zeros(len(w))
-        for i in range(block, min(block + lm.BLOCK, len(data))):
-            past = lambda k: data[i - k] if i >= k else 0
-            hashes = []
-            for order in lm.ORDERS:
-                h = np.array([order], np.uint32)
-                for k in range(1, order + 1):
-                    h = (h ^ np.uint32(past(k))) * lm._MIX[0]
-                    h ^= h >> np.uint32(15)
-                hashes.append(int((h * lm._MIX[1])[0]) & 0xFFFFFFFE)
-            pair = past(1) << 8 | data[i]
-            for step in model.code.step[model.code.start[pair] : model.code.start[pair] + model.code.size[pair]]:
-                odds = [float(t[(h ^ int(step)) & ((1 << model.bits) - 1)]) for t, h in zip(model.tables, hashes)]
-                gate = int(sum(abs(odds[-1]) >= e for e in lm.GATE_EDGES))
-                mixed = float(np.clip(np.dot(w[gate], odds), -14, 14))
-                total += math.log2(1 + math.exp(-mixed))
-                sums[gate] += np.array(odds) / (1 + math.exp(mixed))
-                times[gate] += 1
-        if min(block + lm.BLOCK, len(data)) - block == lm.BLOCK:
-            w += lm.RATE * sums / np.maximum(times, 1)[:, None]
+        for bit, odds, slots in (d for byte in made[lo:hi] for d in byte):
+            n = [(t.get(s & ~1, 0), t.get(s | 1, 0)) for t, s in zip(tally, slots)]
+            x = np.array([odds] + [math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR)) for n0, n1 in n])
+            gate = int(sum(sum(n[-1]) >= e for e in lm.GATE_EDGES))
+            p = 1 / (1 + math.exp(-float(np.clip(w[gate] @ x, -14, 14))))
+            total -= math.log2(p if bit else 1 - p)
+            sums[gate] += (bit - p) * x
+            times[gate] += 1
+            for t, s in zip(tally, slots):
+                t[s] = t.get(s, 0) + 1
+        if hi <= len(data):
+            w += lm.RATE * sums / (np.maximum(times, 1) + lm.WARM)[:, None]
     return total
 
 
@@ -187,12 +203,54 @@ def test_lm_matches_the_definition(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     model = lm.fit(docs)
     size, bits = model.score(pa.array(texts))
-    for t, n, b in zip(texts, size, bits):
-        assert n == len(t.encode()) and b == pytest.approx(slow_bits(model, t), rel=1e-3, abs=1e-3)
+    for i, (t, n, b) in enumerate(zip(texts, size, bits)):
+        assert n == len(t.encode()) and b == pytest.approx(slow_bits(model, texts, i), rel=1e-3, abs=1e-3)
     alone = model.score(pa.array(texts[2:3]))
     assert alone[1][0] == pytest.approx(bits[2], rel=1e-5)
 
 
+def test_lm_query_matches_the_definition(spark, tmp_path):
+    """The registered query over its whole table, copies among the texts."""
+    from aksharflow.llm.queries import QUERIES
+
+    rng = np.random.default_rng(16)
+    texts = [" ".join(rng.choice(["stone", "house", "été", "x"], int(n))) for n in rng.integers(0, 60, 12)]
+    texts += texts[:2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = lm.fit(docs)
+    for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect():
+        assert r["bits"] == pytest.approx(slow_bits(model, texts, r["doc_id"]), rel=1e-3, abs=2e-3)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """As a code must: after a beginning that the corpus doesn't hold, all 256 next bytes share its probability."""
+    texts = ["the house of stone and the other house", "of the stone", "another thing"]
+    model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for begin in (b"", b"the st", b"zq"):
+        base = model.score(pa.array([begin], pa.binary()), counted=False)[1][0]
+        more = model.score(pa.array([begin + bytes([b]) for b in range(256)], pa.binary()), counted=False)[1]
+        assert sum(2.0 ** (base - m) for m in more) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_ways_to_count_agree(spark, monkeypatch):
+    """Packed keys or an order of the decisions, documents that the tables count or not."""
+    rng = np.random.default_rng(17)
+    texts = [" ".join(rng.choice(["stone", "house", "été", "x"], int(n))) for n in rng.integers(0, 60, 12)]
+    model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    _, bits = model.score(pa.array(texts))
+    monkeypatch.setattr(lm, "place_keys", lambda *a: None)
+    assert model.score(pa.array(texts))[1] == pytest.approx(bits, rel=1e-6)
+    counted = [[t.copy() for t in model.tables]]
+    for i, text in enumerate(texts[:4]):
+        model.mapped = [t.copy() for t in counted[0]]
+        for byte in slow_decisions(model, text.encode()):
+            for _, _, slots in byte:
+                for t, s in zip(model.mapped, slots):
+                    t[s] -= 1
+        assert model.score(pa.array([text]), counted=False)[1][0] == pytest.approx(bits[i], rel=1e-5)
+
+
 def test_lm_code_is_a_prefix_code():
     pairs = np.zeros((256, 256), np.int64)
     pairs[97, 98] = 1000
@@ -216,7 +274,7 @@ def test_lm_prefers_the_usual(spark):
 
 
 def test_lm_tables_grow_at_every_size():
-    assert [lm.table_bits(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 30 << 30, 1 << 40, 1 << 43)] == [16, 16, 20, 22, 26, 31, 34]
+    assert [lm.table_bits(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 30 << 30, 1 << 40, 1 << 43)] == [16, 16, 21, 23, 27, 32, 35]
 
 
 def test_lm_wide_hashes():
@@ -240,18 +298,13 @@ def test_lm_large_tables_match_the_definition(spark, monkeypatch):
     assert model.bits == bits and all(len(t) == 1 << bits for t in model.tables)
     tally = [{} for _ in lm.ORDERS]
     for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        pair, hashes = lm.contexts(data, np.array([0, len(data)]))
-        size, step = lm.decisions(model.code, pair)
-        for t, h in zip(tally, hashes):
-            for slot in lm._slots(h, size, step, bits).tolist():
+        for _, _, slots in (d for byte in slow_decisions(model, text.encode()) for d in byte):
+            for t, slot in zip(tally, slots):
                 t[slot] = t.get(slot, 0) + 1
     for t, table in zip(tally, model.tables):
-        for slot, n in t.items():
-            own, other = max(n - 1, 0) + lm.PRIOR, t.get(slot ^ 1, 0) + lm.PRIOR
-            assert table[slot] == pytest.approx(math.log(own / other), abs=1e-5)
-    size, got = model.score(pa.array(texts[:3]))
-    assert got == pytest.approx([slow_bits(model, t) for t in texts[:3]], rel=1e-3)
+        assert all(table[slot] == n for slot, n in t.items()) and table.sum() == sum(t.values())
+    size, got = model.score(pa.array(texts))
+    assert got[:3] == pytest.approx([slow_bits(model, texts, i) for i in range(3)], rel=1e-3)
 
 
 def test_lm_sorted_counts_are_dense_counts(monkeypatch):
