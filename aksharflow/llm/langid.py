@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -16,8 +16,8 @@ from .textvec import chunks
 #: Labelled documents of each language for the regression, and how many of these are landmarks.
 ROWS_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
-#: Languages that get a classifier: the most frequent ones.
-MOST_LANGUAGES = 200
+#: Of all languages together; with many of them each has fewer, one row at least.
+MOST_ROWS, MOST_LANDMARKS = 12_000, 1024
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Presence features: bytes, then hashed pairs, then hashed triples.
@@ -66,49 +66,64 @@ class Classifier:
         return (x @ self.weights) / np.where(norm > 0, norm, 1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt(x.sum(axis=1, keepdims=True))
-    return (x / np.where(norm > 0, norm, 1)).astype(np.float64)
+def train(blocks: Callable[[], Iterator[np.ndarray]], labels: list[str], landmark: np.ndarray, ridge: float = RIDGE) -> Classifier:
+    """One-versus-rest ridge regression on the Nyström features that the rows marked ``landmark`` span.
 
-
-def train(x: np.ndarray, labels: list[str], landmark: np.ndarray, ridge: float = RIDGE) -> Classifier:
-    """One-versus-rest ridge regression on the Nyström features that the rows marked ``landmark`` span."""
+    ``blocks`` gives the rows' presences, some at a time and as often as it is asked: only the landmarks' stay.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Classifier([], np.zeros((WIDTH, 0), np.float32))
-    u = _unit(x)
-    marks = u[landmark]
-    value, vector = np.linalg.eigh(marks @ marks.T)
-    keep = value > 1e-8 * max(value.max(), 1e-12)
+    unit = lambda x: x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    at, picked = 0, []
+    for x in blocks():
+        picked.append(unit(x[landmark[at : at + len(x)]]))
+        at += len(x)
+    marks = np.concatenate(picked)
+    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    keep = value > 1e-6 * max(value.max(), 1e-12)
     root = vector[:, keep] / np.sqrt(value[keep])
-    z = u @ (marks.T @ root)
+    z = np.concatenate([(unit(x) @ marks.T) @ root for x in blocks()])
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    weight = 1.0 / np.array([labels.count(v) for v in languages])[np.searchsorted(languages, labels)]
+    at, times = np.unique(np.searchsorted(languages, labels), return_inverse=True, return_counts=True)[1:]
+    weight = 1.0 / times[at]
     beta = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
     return Classifier(languages, (marks.T @ (root @ beta)).astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> Classifier:
-    """Trained on at most ``per_language`` documents of each labelled language, chosen by hash."""
-    known = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''").select("doc_id", F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    chosen = None
-    for r in counts:
-        part = known.where(F.col("lang") == r["lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return train(np.zeros((0, WIDTH), np.float32), [], np.zeros(0, bool))
-    # the chosen ids are bounded by the two parameters: broadcast whatever the size of the corpus
-    texts = docs.select("doc_id", "lang", F.lower(text_of(docs)).alias("t")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "doc_id", "t").collect()
-    labels = [r["lang"] for r in texts]
-    x = np.zeros((len(texts), WIDTH), np.float32)
-    for lo, hi, part in presences(pa.array([r["t"] for r in texts], pa.string())):
-        x[lo:hi] = part
-    landmark, seen = np.zeros(len(texts), bool), {}
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The presences of a text as bits: what the driver needs of it, at any length."""
+    for batch in batches:
+        rows = []
+        for _, _, x in presences(batch.column(2)):
+            rows += [r.tobytes() for r in np.packbits(x > 0, axis=1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["lang", "h", "x"])
+
+
+def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, most_rows: int = MOST_ROWS, most_landmarks: int = MOST_LANDMARKS) -> Classifier:
+    """Trained on at most ``per_language`` documents of every language that occurs, chosen by hash."""
+    some = "lang is not null and doc_id is not null and text is not null and text <> ''"
+    known = docs.where(some).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"))
+    n = known.select("lang").distinct().count()
+    each, marks = max(1, min(per_language, most_rows // max(1, n))), max(1, min(landmarks, most_landmarks // max(1, n)))
+    # each map task passes on its first rows of each language only
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = known.withColumn("place", place).where(F.col("place") <= each).select("lang", "doc_id").distinct()
+    texts = docs.where(some).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.lower(text_of(docs)).alias("t"))
+    # the chosen ids are bounded by the parameters: broadcast whatever the size of the corpus
+    rows = texts.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", F.xxhash64("doc_id", "t").alias("h"), "t")
+    rows = sorted(rows.mapInArrow(_bits, "lang string, h bigint, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    labels, landmark, seen = [r["lang"] for r in rows], np.zeros(len(rows), bool), {}
     for i, lang in enumerate(labels):
         seen[lang] = seen.get(lang, 0) + 1
-        landmark[i] = seen[lang] <= landmarks
-    return train(x, labels, landmark)
+        landmark[i] = seen[lang] <= marks and landmark.sum() < max(most_landmarks, 1)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for lo in range(0, len(rows), 256):
+            packed = np.frombuffer(b"".join(r["x"] for r in rows[lo : lo + 256]), np.uint8).reshape(-1, -(-WIDTH // 8))
+            yield np.unpackbits(packed, axis=1, count=WIDTH).astype(np.float32)
+
+    return train(blocks, labels, landmark)
 
 
 def identify(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE) -> DataFrame:
@@ -118,7 +133,8 @@ def identify(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, landmarks:
     ``scores`` are the one-versus-rest outputs in order of the languages' names, ``margin`` the best less the second.
     ``agrees`` says whether the language is that of the column lang (null where it is null). Null and empty texts, and
     all where nothing is labelled, are "und" with margin 0. Equal scores go to the first name. Repeated rows get equal
-    results; an empty table gives no rows. Columns other than doc_id, text and lang are not read.
+    results; an empty table gives no rows. Columns other than doc_id, text and lang are not read. Texts count whole, at
+    any length. Every language that the column has gets a classifier, whatever their number.
     """
     model = fit(docs, per_language, landmarks)
 

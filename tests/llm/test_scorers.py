@@ -128,14 +128,55 @@ def test_ridge_through_landmarks_is_kernel_ridge():
     x = (rng.random((30, langid.WIDTH)) < 0.002).astype(np.float32)
     x[:, 0] = 1
     labels = [["aa", "bb", "cc"][i % 3] for i in range(30)]
-    m = langid.train(x, labels, np.ones(30, bool), 0.1)
-    u = langid._unit(x)
+    m = langid.train(lambda: iter([x[:7], x[7:]]), labels, np.ones(30, bool), 0.1)
+    u = x / np.sqrt(x.sum(axis=1, keepdims=True)).astype(float)
     y = np.where(np.array(labels)[:, None] == np.array(["aa", "bb", "cc"]), 1.0, -1.0)
     k = u @ u.T
     alpha = np.linalg.solve(k / 10 + 0.1 * np.eye(30), y / 10)
     assert np.allclose(m.scores(x), k @ alpha, atol=1e-3)
 
 
+def test_every_language_gets_a_classifier(spark):
+    """More languages than the rows and landmarks allow for: each keeps a row, equal scores go to the first name."""
+    names = [f"l{i:03d}" for i in range(230)]
+    rows = [(i * 4 + k, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * (5 + k), n) for i, n in enumerate(names) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, most_rows=300, most_landmarks=250)
+    assert model.languages == names
+    out = langid.identify(docs).collect()
+    assert np.mean([r["agrees"] for r in out]) > 0.95
+    same = spark.createDataFrame([(i, "same words", n) for i, n in enumerate(["bb", "aa", "bb", "aa"])], "doc_id bigint, text string, lang string")
+    assert {(r["language"], r["margin"]) for r in langid.identify(same).collect()} == {("aa", 0.0)}
+
+
+def slow_presence(text):
+    """Distinct n-grams of 1 to 3 bytes, through the feature each is hashed to."""
+    data, out = text.lower().encode(), set()
+    for i in range(len(data)):
+        out.add(data[i])
+        if i + 1 < len(data):
+            out.add(256 + ((data[i] << 8 | data[i + 1]) * 0x9E3779B1 % (1 << 32) >> 19))
+        if i + 2 < len(data):
+            out.add(256 + langid.PAIRS + ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x85EBCA6B % (1 << 32) >> 18))
+    return out
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The registered query: scores are those of the fitted weights over presences taken one n-gram at a time."""
+    from aksharflow.llm.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(rng.choice(list(["abcde ", "defgh ", "éèçaz "][i % 3]), int(rng.integers(1, 80)))), ["aa", "bb", "cc"][i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fit(docs)
+    out = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, str(tmp_path)).collect()}
+    for i, text, _ in rows:
+        have = sorted(slow_presence(text))
+        scores = model.weights[have].sum(axis=0) / math.sqrt(len(have))
+        assert np.allclose(out[i]["scores"], scores, atol=2e-4) and out[i]["language"] == model.languages[int(np.argmax(out[i]["scores"]))]
+
+
 def test_language(spark):
     rng = np.random.default_rng(2)
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "éèçaz"}
