@@ -50,19 +50,90 @@ def test_toxicity_held_out(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, x in out.items() if not x["toxic"]) and kept.columns == docs.columns
 
 
-def test_block_max_search_is_exact():
+def slow_terms(text, vocabulary):
+    """term -> times by a walk over the words; -1 with its own key for each word outside."""
+    words, stems = vocabulary.hashes[: vocabulary.words].tolist(), vocabulary.hashes[vocabulary.words :].tolist()
+    out = {}
+    for w in __import__("re").findall(r"(?:[^\W_]|[^\x00-\x7f])+", text.lower()):
+        h = textvec.hash_word(w)
+        keys = [words.index(h) if h in words else ("out", w)]
+        data = w.encode()
+        for k in toxicity.STEMS:
+            if len(data) > k:
+                part = np.frombuffer(data[:k], np.uint8)
+                h = int(textvec.word_hashes(part, np.array([0]), np.array([k]))[0])
+                keys += [vocabulary.words + stems.index(h)] if h in stems else []
+        for key in keys:
+            out[key] = out.get(key, 0) + 1
+    return out
+
+
+def slow_unit(text, vocabulary, idf):
+    v = {}
+    for key, n in slow_terms(text, vocabulary).items():
+        outside = isinstance(key, tuple)
+        v[key] = (1 + math.log(n)) * idf[-1 if outside else key] * (toxicity.LEAST if outside else vocabulary.weight[key])
+    if v:
+        v["ground"] = toxicity.BACKGROUND
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / norm for k, x in v.items() if not isinstance(k, tuple)}
+
+
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """The registered query: document frequencies, all cosines, ties, votes and scores by plain loops."""
+    from aksharflow.llm.queries import QUERIES
+
+    rows, labels = toxic_rows(3)
+    rows, labels = rows[:90] + [(500, rows[0][1]), (501, ""), (502, "qqq zzz"), (503, "word1 word2")], labels[:60]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    index = toxicity.fit(docs, known)
+    v = index.vocabulary
+    found = [slow_terms(t, v) for _, t in rows]
+    idf = np.array([math.log((1 + len(rows)) / (1 + sum(k in f for f in found))) + 1 for k in range(len(v.hashes))] + [math.log(1 + len(rows)) + 1])
+    assert np.allclose(index.idf, idf)
+    texts = dict(rows)
+    examples = [slow_unit(texts[i], v, idf) for i in index.ids.tolist()]
+    out = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        q = slow_unit(text, v, idf)
+        cos = np.array([round(sum(x * e.get(k, 0.0) for k, x in q.items()), 5) for e in examples])
+        order = sorted((j for j in range(len(cos)) if cos[j] > 0), key=lambda j: (-cos[j], j))[: toxicity.NEIGHBOURS]
+        assert np.allclose(out[i]["cosines"], cos[order], atol=2e-5) and len(out[i]["cosines"]) == len(order)
+        if order:
+            w = 1 / (1 - cos[order] + 0.05)
+            assert out[i]["votes"] == pytest.approx(float((w * index.toxic[order]).sum() / w.sum()), abs=0.03)
+        assert out[i]["score"] == pytest.approx(float(index.score(np.array([np.nan if out[i]["votes"] is None else out[i]["votes"]]))[0]), abs=1e-4)
+    assert out[501]["votes"] is None and out[0]["cosines"] == out[500]["cosines"] and max(out[0]["cosines"]) == pytest.approx(1, abs=2e-5)
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    """Posting lists and dense columns, over several blocks, with ties; best first, equal cosines by place."""
     rng = np.random.default_rng(7)
-    counts = (rng.random((500, 12)) < 0.2) * rng.integers(1, 4, (500, 12))
-    idf = rng.random(12) + 1
-    unit = toxicity._unit(counts.astype(np.float32), idf)
-    index = toxicity.Index(np.arange(12, dtype=np.uint64), idf, np.arange(500), np.zeros(500), unit)
-    queries = toxicity._unit(((rng.random((60, 12)) < 0.3) * 1.0).astype(np.float32), idf)
-    best, cosine = index.search(queries, 9)
-    sims = np.round((queries @ unit.T).astype(float), 5)
+    n, width = 500, 60
+    share = np.where(np.arange(width) < 8, 0.4, 0.03)
+    have = rng.random((n, width)) < share
+    have[7] = have[3]
+    row, term = np.nonzero(have)
+    vocabulary = toxicity.Vocabulary(np.arange(width, dtype=np.uint64), width, rng.random(width) + 0.1, np.ones(width, bool))
+    terms = toxicity.Terms(row, term, np.ones(len(row), np.int64))
+    index = toxicity.Index(vocabulary, rng.random(width + 1) + 1, np.arange(n), np.zeros(n), terms)
+    assert 0 < (index.column >= 0).sum() < width and index.blocks == 8
+    row, term = np.nonzero(rng.random((60, width)) < share * 1.5)
+    asked = toxicity.Terms(row, term, rng.integers(1, 4, len(row)))
+    full = lambda t, rows: (lambda u: np.concatenate([np.bincount(u[0] * width + u[1], u[2], rows * width).reshape(rows, width), u[3][:, None]], axis=1))(index.unit(t, rows))
+    sims = np.round(full(asked, 60) @ full(terms, n).T, 5)
+    best, cosine = index.search(asked, 60, 9)
     for q in range(60):
-        order = np.lexsort((np.arange(500), -sims[q]))[:9]
+        order = np.lexsort((np.arange(n), -sims[q]))[:9]
         assert np.allclose(cosine[q], sims[q][order], atol=2e-5)
         assert best[q].tolist() == order.tolist() or np.allclose(sims[q][best[q]], sims[q][order], atol=2e-5)
+        assert all(x < y for x, y, c, d in zip(best[q], best[q][1:], cosine[q], cosine[q][1:]) if c == d)
+    skip = best[:, 0]
+    again, _ = index.search(asked, 60, 9, skip=skip)
+    assert not (again == skip[:, None]).any()
 
 
 def test_toxicity_edges(spark):
