@@ -15,16 +15,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, text_of
 from .textvec import chunks
 
-#: Bytes of context that each predictor with a table hashes; one more predictor, of one byte, has its counts in the code.
-ORDERS = (2, 4)
-#: A table has 2**bits entries: about one for 256 bytes of the corpus, without an upper bound.
-MIN_BITS, BYTES_PER_ENTRY_BITS = 16, 8
+#: Bytes of context that each predictor with a table hashes. Two more have none: one of a single byte, whose counts are in the code, and one that learns from the text itself as it goes on, of LOCAL bytes.
+ORDERS = (4,)
+LOCAL = 3
+#: Documents are halved by a hash of their ids, and each half is predicted by the tables of the other.
+HALVES = 2
+#: A table has 2**bits entries: about one for 128 bytes of the corpus, without an upper bound.
+MIN_BITS, BYTES_PER_ENTRY_BITS = 16, 7
 #: A task counts tables of up to so many bits in arrays of their size, and larger ones by sorting RUN decisions at a time into at most HELD entries a table.
 DENSE_BITS, RUN, HELD = 22, 1 << 22, 1 << 22
 #: Hashes of 32 bits serve tables of up to so many; beyond, they have 64.
@@ -37,9 +40,9 @@ STEP, GROWTH, REPEATS, LONGEST_STEP = 8, 2, 4, 256
 RATE, WARM = 1.5, 8
 #: Weights of the predictors at a document's start, by gate: how often the longest context was met before.
 GATE_EDGES = np.array([0.5, 4.0, 32.0], np.float32)
-START = np.array([[0.3, 0.8, 0.0], [0.2, 0.7, 0.2], [0.1, 0.5, 0.5], [0.05, 0.25, 0.75]], np.float32)
-#: Bits of a decision's place among those that are counted at a time.
-PLACE_BITS = 21
+START = np.array([[0.3, 0.3, 0.2], [0.2, 0.4, 0.2], [0.1, 0.7, 0.2], [0.05, 0.9, 0.2]], np.float32)
+#: Bits by which slots of one document are told apart.
+SLOT_BITS = 24
 #: Tables are cut into at least SHARDS ranges of slots, none longer than MOST_SPAN.
 SHARDS, MOST_SPAN = 64, 1 << 16
 SCHEMA = "doc_id bigint, bytes bigint, bits double, bits_per_byte double"
@@ -120,11 +123,11 @@ def _before(data: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def contexts(data: np.ndarray, offs: np.ndarray, kind: type = np.uint32) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(pair of last and this byte, for each of ORDERS the hash of so many bytes before; its lowest bit is 0)."""
-    before = _before(data, offs, max(ORDERS))
+def contexts(data: np.ndarray, offs: np.ndarray, kind: type = np.uint32, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(pair of last and this byte, for each of ``orders`` the hash of so many bytes before; its lowest bit is 0)."""
+    before = _before(data, offs, max(orders))
     hashes = []
-    for order in ORDERS:
+    for order in orders:
         h = np.full(len(data), order, kind)
         for b in before[:order]:
             h = (h ^ b) * _MIX[0]
@@ -145,47 +148,31 @@ def _slots(context: np.ndarray, size: np.ndarray, step: np.ndarray, bits: int) -
     return (np.repeat(context, size) ^ step) & context.dtype.type((1 << bits) - 1)
 
 
-def place_keys(owner: np.ndarray, bit: np.ndarray, bits: int, rows: int) -> np.ndarray | None:
-    """Of each decision its document, room for a table's pair of entries, its place and its bit, in one number; None where they don't fit."""
-    if len(owner) > 1 << PLACE_BITS or bits - 1 + max(1, rows - 1).bit_length() + PLACE_BITS + 1 > 64:
-        return None
-    return owner.astype(np.uint64) << np.uint64(bits + PLACE_BITS) | np.arange(len(owner), dtype=np.uint64) << np.uint64(1) | bit.astype(np.uint64)
+def met_before(owner: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, 0s, 1s) of decisions in some order: how often the same document had each outcome in the same slot before.
 
-
-def counts_so_far(table: np.ndarray, slots: np.ndarray, bits: int, owner: np.ndarray, bit: np.ndarray, keys: np.ndarray | None, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, 0s, 1s) of decisions in some order: what their table entries count without their document, and it so far.
-
-    ``counted``: the table counts the document, so that what is ahead in it, the decision included, is taken off; else
-    what came before is added.
+    Slots are told apart by SLOT_BITS bits.
     """
     n = len(slots)
-    if keys is not None:
-        key = (slots & ~slots.dtype.type(1)).astype(np.uint64) << np.uint64(PLACE_BITS)
-        key |= keys
+    slot = (slots >> slots.dtype.type(1)).astype(np.uint64) & np.uint64((1 << SLOT_BITS) - 1)
+    width = max(1, n - 1).bit_length()
+    if SLOT_BITS + width + 1 + max(1, int(owner[-1])).bit_length() <= 64:
+        key = owner.astype(np.uint64) << np.uint64(SLOT_BITS) | slot
+        key <<= np.uint64(width + 1)
+        key |= np.arange(n, dtype=np.uint64) << np.uint64(1) | bit
         key.sort()
-        at = (key >> np.uint64(1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        at = (key >> np.uint64(1) & np.uint64((1 << width) - 1)).astype(np.int64)
         b = (key & np.uint64(1)).astype(np.int32)
-        key >>= np.uint64(PLACE_BITS + 1)
-        new = key[1:] != key[:-1]
-        key &= np.uint64((1 << bits - 1) - 1)
-        pair = key.astype(np.int64)
-    else:  # a long text, or wide entries: by order instead
-        pair = (slots >> slots.dtype.type(1)).astype(np.int64)
-        at = np.lexsort((pair, owner))
-        b, pair = bit[at].astype(np.int32), pair[at]
-        new = (pair[1:] != pair[:-1]) | (owner[at][1:] != owner[at][:-1])
-    first = np.concatenate([[0], np.flatnonzero(new) + 1]).astype(np.int32)
+        key >>= np.uint64(width + 1)
+    else:  # more than fits a number: by order instead
+        at = np.lexsort((slot, owner))
+        b, key = bit[at].astype(np.int32), owner[at].astype(np.uint64) << np.uint64(SLOT_BITS) | slot[at]
+    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]).astype(np.int32)
     size = np.diff(first, append=np.int32(n))
-    ones = np.cumsum(b, dtype=np.int32)
-    both = np.take(table.view(np.complex64), pair)
-    n0, n1 = both.real, both.imag
-    if counted:
-        left1 = np.repeat(ones[first + size - 1], size) - ones + b
-        left = np.repeat(first + size, size) - np.arange(n, dtype=np.int32)
-        return at, np.maximum(n0 - (left - left1), 0), np.maximum(n1 - left1, 0)
-    past1 = ones - b - np.repeat(ones[first] - b[first], size)
+    ones = np.cumsum(b, dtype=np.int32) - b
+    past1 = ones - np.repeat(ones[first], size)
     past = np.arange(n, dtype=np.int32) - np.repeat(first, size)
-    return at, n0 + (past - past1), n1 + past1
+    return at, past - past1, past1
 
 
 def _steps(longest: int) -> Iterator[tuple[int, int]]:
@@ -246,7 +233,7 @@ def _open_tables(at: str, bits: int, span: int) -> list[np.ndarray]:
     """The tables as mapped files, one for all processes that see the same folder: built by the first that asks."""
     url = urlparse(at)
     folder = url.path if url.scheme in ("", "file") else SparkFiles.get(os.path.basename(url.path))
-    whole, size = folder + ".counts", len(ORDERS) << bits
+    whole, size = folder + ".counts", len(ORDERS) * HALVES << bits
     with open(folder + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(whole):
@@ -257,7 +244,7 @@ def _open_tables(at: str, bits: int, span: int) -> list[np.ndarray]:
             flat.flush()
             del flat
             os.replace(whole + ".part", whole)
-    return list(np.memmap(whole, np.float32, "r", shape=(size,)).reshape(len(ORDERS), 1 << bits))
+    return list(np.memmap(whole, np.float32, "r", shape=(size,)).reshape(len(ORDERS) * HALVES, 1 << bits))
 
 
 @dataclass
@@ -279,39 +266,47 @@ class Model:
             self.mapped = _open_tables(self.at, self.bits, self.span)
         return self.mapped
 
-    def predictions(self, data: np.ndarray, offs: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def predictions(self, data: np.ndarray, offs: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(decisions of each byte, the bit of each decision, its log odds of a 1 by each predictor, its gate).
 
-        A predictor's counts are those of all other documents, and of this one so far: the tables' without what is ahead
-        in the document. ``counted``: whether the tables count these documents.
+        Nothing that these depend on lies ahead in the document: tables are those of the other half, and the local
+        predictor has the document's own decisions so far.
         """
-        kind, rows = _hash_type(self.bits), len(offs) - 1
-        pair, hashes = contexts(data, offs, kind)
+        kind, prior = _hash_type(self.bits), np.float32(PRIOR)
+        pair, (*hashes, local) = contexts(data, offs, kind, (*ORDERS, LOCAL))
         size, place = decisions(self.code, pair)
         step = self.code.step[place]
-        owner = np.repeat(np.repeat(np.arange(rows, dtype=np.int32), np.diff(offs)), size)
         bit = step & kind(1)
-        keys = place_keys(owner, bit, self.bits, rows)
-        odds, prior = np.empty((len(step), 1 + len(ORDERS)), np.float32), np.float32(PRIOR)
+        odds = np.empty((len(step), 2 + len(ORDERS)), np.float32)
         odds[:, 0] = self.code.odds[place]
-        for i, (table, h) in enumerate(zip(self.tables, hashes)):
-            at, n0, n1 = counts_so_far(table, _slots(h, size, step, self.bits), self.bits, owner, bit, keys, counted)
-            n0, n1 = n0.astype(np.float32, copy=False), n1.astype(np.float32, copy=False)
-            odds[at, i + 1] = np.log((n1 + prior) / (n0 + prior))
+        for i, h in enumerate(hashes):
+            both = np.take(self.tables[i * HALVES + 1 - half].view(np.complex64), _slots(h, size, step, self.bits) >> kind(1))
+            n0, n1 = both.real, both.imag
+            odds[:, i + 1] = np.log((n1 + prior) / (n0 + prior))
         met = n0 + n1
-        gate = np.empty(len(step), np.int8)
-        gate[at] = (met >= GATE_EDGES[0]).astype(np.int8) + (met >= GATE_EDGES[1]) + (met >= GATE_EDGES[2])
+        gate = (met >= GATE_EDGES[0]).astype(np.int8) + (met >= GATE_EDGES[1]) + (met >= GATE_EDGES[2])
+        owner = np.repeat(np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs)), size)
+        at, n0, n1 = met_before(owner, np.repeat(local, size) ^ step, bit)
+        odds[at, -1] = np.log((n1 + prior) / (n0 + prior))
         return size, bit.astype(np.float32), odds, gate
 
-    def score(self, text: pa.Array, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, bits) of each text: weights start anew in each and are refined as it goes on."""
+    def score(self, text: pa.Array, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, bits) of each text, which belongs to ``half``."""
+        size, bits = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for h in range(HALVES):
+            own = np.flatnonzero(half == h)
+            size[own], bits[own] = self._score(text.take(pa.array(own)), h)
+        return size, bits
+
+    def _score(self, text: pa.Array, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights start anew in each text and are refined as it goes on."""
         n = len(text)
         size_of, total = np.zeros(n, np.int64), np.zeros(n)
-        for at, end, data, offs in chunks(text, 1 << 17):
+        for at, end, data, offs in chunks(text, 1 << 16):
             size_of[at:end] = np.diff(offs)
             if not len(data):
                 continue
-            size, bit, odds, gate = self.predictions(data, offs, counted)
+            size, bit, odds, gate = self.predictions(data, offs, half)
             rows, gates = end - at, len(START)
             weights = np.tile(START, (rows, 1))
             length = np.diff(offs)
@@ -342,10 +337,14 @@ class Model:
         return size_of, total / np.log(2)
 
 
+def _half(docs: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(docs["doc_id"].cast("bigint")), F.lit(HALVES)).cast("int").alias("half")
+
+
 def fit(docs: DataFrame) -> Model:
     """Code and tables from all texts: one pass counts byte pairs, one the outcomes in each hashed context."""
     spark = docs.sparkSession
-    texts = docs.select(text_of(docs).alias("t"))
+    texts = docs.select(text_of(docs).alias("t"), _half(docs))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, np.int64)
@@ -377,16 +376,19 @@ def fit(docs: DataFrame) -> Model:
 
     def count_outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, kind = shared.value, _hash_type(bits)
-        counters = [Counter(bits) for _ in ORDERS]
+        counters = [Counter(bits) for _ in range(len(ORDERS) * HALVES)]
         for batch in batches:
-            for _, _, data, offs in chunks(batch.column(0)):
-                pair, hashes = contexts(data, offs, kind)
-                size, place = decisions(code, pair)
-                step = code.step[place]
-                for table, (c, h) in enumerate(zip(counters, hashes)):
-                    c.add(_slots(h, size, step, bits))
-                    if c.full():
-                        yield from rows(table, c)
+            halves = batch.column(1).to_numpy(zero_copy_only=False)
+            for half in range(HALVES):
+                for _, _, data, offs in chunks(batch.column(0).take(pa.array(np.flatnonzero(halves == half)))):
+                    pair, hashes = contexts(data, offs, kind)
+                    size, place = decisions(code, pair)
+                    step = code.step[place]
+                    for i, h in enumerate(hashes):
+                        c = counters[i * HALVES + half]
+                        c.add(_slots(h, size, step, bits))
+                        if c.full():
+                            yield from rows(i * HALVES + half, c)
         for table, c in enumerate(counters):
             yield from rows(table, c)
 
@@ -421,11 +423,12 @@ def perplexity(docs: DataFrame) -> DataFrame:
     """(doc_id, bytes, bits, bits_per_byte) for each row of ``docs``: what each whole text costs under a model of all texts.
 
     A byte is coded by the decisions on its path in a Huffman tree that the byte before it selects. Each decision is
-    predicted from hashed contexts of ORDERS bytes, by counts over all other documents and over this one so far, so
-    that the two outcomes' probabilities sum to one and nothing ahead in the text is used. The predictions' log odds are
-    mixed with weights that are gated by how often the longest context was met, and refined by gradient steps as the
-    document goes on, short ones included. A document's result does not depend on what shares its batch or partition.
-    Very long texts are scored whole; a text takes about 200 bytes of a worker's memory a byte.
+    predicted from hashed contexts of ORDERS bytes, by counts over the half of the corpus to which the document doesn't
+    belong, from the last byte alone, and by what the text itself had after the same LOCAL bytes so far: the outcomes'
+    probabilities sum to one, and nothing ahead in the text is used. The predictions' log odds are mixed with weights
+    that are gated by how often the longest context was met, and refined by gradient steps as the document goes on,
+    short ones included. A document's result does not depend on what shares its batch or partition. Halves go by a hash
+    of doc_id. Very long texts are scored whole; a text takes about 200 bytes of a worker's memory a byte.
     Null and empty texts have 0 bytes, 0 bits and null bits_per_byte. Repeated rows count as often as they occur and
     get equal results. An empty table gives no rows. Only doc_id and text are read.
     """
@@ -434,8 +437,8 @@ def perplexity(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            size, bits = model.score(batch.column(1))
+            size, bits = model.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
             per = np.round(bits / np.maximum(size, 1), 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.round(bits, 3)), pa.array(per, mask=size == 0)], names=["doc_id", "bytes", "bits", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("t")).mapInArrow(score, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("t"), _half(docs)).mapInArrow(score, SCHEMA)

@@ -265,12 +265,12 @@ def test_language(spark):
 
 
 def slow_decisions(model, data):
-    """The definition: (bit, odds by the code, entries of the tables) of each decision of each byte."""
+    """The definition: (bit, odds by the code, entries of the tables, slot of the local predictor) of each decision of each byte."""
     out = []
     for i in range(len(data)):
         past = lambda k: data[i - k] if i >= k else 0
         hashes = []
-        for order in lm.ORDERS:
+        for order in (*lm.ORDERS, lm.LOCAL):
             h = np.array([order], np.uint32)
             for k in range(1, order + 1):
                 h = (h ^ np.uint32(past(k))) * lm._MIX[0]
@@ -278,46 +278,58 @@ def slow_decisions(model, data):
             hashes.append(int((h * lm._MIX[1])[0]) & 0xFFFFFFFE)
         pair = past(1) << 8 | data[i]
         places = range(model.code.start[pair], model.code.start[pair] + model.code.size[pair])
-        out.append([(int(model.code.step[p]) & 1, float(model.code.odds[p]), [(h ^ int(model.code.step[p])) & ((1 << model.bits) - 1) for h in hashes]) for p in places])
+        step = lambda p: int(model.code.step[p])
+        out.append([(step(p) & 1, float(model.code.odds[p]), [(h ^ step(p)) & ((1 << model.bits) - 1) for h in hashes[:-1]], (hashes[-1] ^ step(p)) >> 1 & ((1 << lm.SLOT_BITS) - 1)) for p in places])
     return out
 
 
-def slow_bits(model, texts, which):
-    """Bits of one of ``texts``, decision by decision: tallies of all others and of it so far."""
+def slow_tally(model, texts):
     tally = [{} for _ in lm.ORDERS]
-    for i, text in enumerate(texts):
-        if i != which:
-            for _, _, slots in (d for byte in slow_decisions(model, text.encode()) for d in byte):
-                for t, slot in zip(tally, slots):
-                    t[slot] = t.get(slot, 0) + 1
-    data = texts[which].encode()
-    made, w, total = slow_decisions(model, data), lm.START.astype(float).copy(), 0.0
+    for text in texts:
+        for _, _, slots, _ in (d for byte in slow_decisions(model, text.encode()) for d in byte):
+            for t, slot in zip(tally, slots):
+                t[slot] = t.get(slot, 0) + 1
+    return tally
+
+
+def slow_bits(model, text, others):
+    """Bits of a text, decision by decision: tallies of the texts ``others``, and of it so far."""
+    tally, own, w, total = slow_tally(model, others), {}, lm.START.astype(float).copy(), 0.0
+    data = text.encode()
+    made = slow_decisions(model, data)
+    odds_of = lambda n0, n1: math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR))
     for lo, hi in lm._steps(len(data)):
         sums, times = np.zeros_like(w), np.zeros(len(w))
-        for bit, odds, slots in (d for byte in made[lo:hi] for d in byte):
+        for bit, odds, slots, local in (d for byte in made[lo:hi] for d in byte):
             n = [(t.get(s & ~1, 0), t.get(s | 1, 0)) for t, s in zip(tally, slots)]
-            x = np.array([odds] + [math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR)) for n0, n1 in n])
+            x = np.array([odds, *(odds_of(*c) for c in n), odds_of(own.get((local, 0), 0), own.get((local, 1), 0))])
             gate = int(sum(sum(n[-1]) >= e for e in lm.GATE_EDGES))
             p = 1 / (1 + math.exp(-float(np.clip(w[gate] @ x, -14, 14))))
             total -= math.log2(p if bit else 1 - p)
             sums[gate] += (bit - p) * x
             times[gate] += 1
-            for t, s in zip(tally, slots):
-                t[s] = t.get(s, 0) + 1
+            own[local, bit] = own.get((local, bit), 0) + 1
         if hi <= len(data):
             w += lm.RATE * sums / (np.maximum(times, 1) + lm.WARM)[:, None]
     return total
 
 
+def halves_of(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    return {r["doc_id"]: r["half"] for r in df.select("doc_id", lm._half(df)).collect()}
+
+
 def test_lm_matches_the_definition(spark):
     rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(["the", "of", "and", "blé", "zebra"], int(n))) for n in (3, 40, 400, 5)] + ["", "é"]
+    texts = [" ".join(rng.choice(["the", "of", "and", "blé", "zebra"], int(n))) for n in (3, 40, 400, 5, 30, 20)] + ["", "é"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    model = lm.fit(docs)
-    size, bits = model.score(pa.array(texts))
-    for i, (t, n, b) in enumerate(zip(texts, size, bits)):
-        assert n == len(t.encode()) and b == pytest.approx(slow_bits(model, texts, i), rel=1e-3, abs=1e-3)
-    alone = model.score(pa.array(texts[2:3]))
+    model, half = lm.fit(docs), halves_of(spark, range(len(texts)))
+    which = np.array([half[i] for i in range(len(texts))])
+    assert set(which) == {0, 1}
+    size, bits = model.score(pa.array(texts), which)
+    for t, n, b, h in zip(texts, size, bits, which):
+        assert n == len(t.encode()) and b == pytest.approx(slow_bits(model, t, [u for u, g in zip(texts, which) if g != h]), rel=1e-3, abs=1e-3)
+    alone = model.score(pa.array(texts[2:3]), which[2:3])
     assert alone[1][0] == pytest.approx(bits[2], rel=1e-5)
 
 
@@ -330,37 +342,32 @@ def test_lm_query_matches_the_definition(spark, tmp_path):
     texts += texts[:2]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    model = lm.fit(docs)
+    model, half = lm.fit(docs), halves_of(spark, range(len(texts)))
     for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect():
-        assert r["bits"] == pytest.approx(slow_bits(model, texts, r["doc_id"]), rel=1e-3, abs=2e-3)
+        others = [t for i, t in enumerate(texts) if half[i] != half[r["doc_id"]]]
+        assert r["bits"] == pytest.approx(slow_bits(model, texts[r["doc_id"]], others), rel=1e-3, abs=2e-3)
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """As a code must: after a beginning that the corpus doesn't hold, all 256 next bytes share its probability."""
-    texts = ["the house of stone and the other house", "of the stone", "another thing"]
+    """As a code must: after any beginning, all 256 next bytes share its probability."""
+    texts = ["the house of stone and the other house", "of the stone", "another thing", "the stone of the house"]
     model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
-    for begin in (b"", b"the st", b"zq"):
-        base = model.score(pa.array([begin], pa.binary()), counted=False)[1][0]
-        more = model.score(pa.array([begin + bytes([b]) for b in range(256)], pa.binary()), counted=False)[1]
-        assert sum(2.0 ** (base - m) for m in more) == pytest.approx(1.0, abs=1e-4)
+    for begin in (b"", b"the st", b"zq", b"the house of stone and the other house"):
+        for half in (0, 1):
+            base = model.score(pa.array([begin], pa.binary()), np.array([half]))[1][0]
+            more = model.score(pa.array([begin + bytes([b]) for b in range(256)], pa.binary()), np.full(256, half))[1]
+            assert sum(2.0 ** (base - m) for m in more) == pytest.approx(1.0, abs=1e-3)
 
 
 def test_lm_ways_to_count_agree(spark, monkeypatch):
-    """Packed keys or an order of the decisions, documents that the tables count or not."""
+    """Packed keys or an order of the decisions."""
     rng = np.random.default_rng(17)
     texts = [" ".join(rng.choice(["stone", "house", "été", "x"], int(n))) for n in rng.integers(0, 60, 12)]
     model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
-    _, bits = model.score(pa.array(texts))
-    monkeypatch.setattr(lm, "place_keys", lambda *a: None)
-    assert model.score(pa.array(texts))[1] == pytest.approx(bits, rel=1e-6)
-    counted = [[t.copy() for t in model.tables]]
-    for i, text in enumerate(texts[:4]):
-        model.mapped = [t.copy() for t in counted[0]]
-        for byte in slow_decisions(model, text.encode()):
-            for _, _, slots in byte:
-                for t, s in zip(model.mapped, slots):
-                    t[s] -= 1
-        assert model.score(pa.array([text]), counted=False)[1][0] == pytest.approx(bits[i], rel=1e-5)
+    half = np.arange(12) % 2
+    _, bits = model.score(pa.array(texts), half)
+    monkeypatch.setattr(lm, "SLOT_BITS", 60)
+    assert model.score(pa.array(texts), half)[1] == pytest.approx(bits, rel=1e-6)
 
 
 def test_lm_code_is_a_prefix_code():
@@ -386,7 +393,7 @@ def test_lm_prefers_the_usual(spark):
 
 
 def test_lm_tables_grow_at_every_size():
-    assert [lm.table_bits(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 30 << 30, 1 << 40, 1 << 43)] == [16, 16, 21, 23, 27, 32, 35]
+    assert [lm.table_bits(n) for n in (0, 1 << 20, 1 << 29, 1 << 31, 30 << 30, 1 << 40, 1 << 43)] == [16, 16, 22, 24, 28, 33, 36]
 
 
 def test_lm_wide_hashes():
@@ -408,15 +415,14 @@ def test_lm_large_tables_match_the_definition(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     model = lm.fit(docs)
     assert model.bits == bits and all(len(t) == 1 << bits for t in model.tables)
-    tally = [{} for _ in lm.ORDERS]
-    for text in texts:
-        for _, _, slots in (d for byte in slow_decisions(model, text.encode()) for d in byte):
-            for t, slot in zip(tally, slots):
-                t[slot] = t.get(slot, 0) + 1
-    for t, table in zip(tally, model.tables):
-        assert all(table[slot] == n for slot, n in t.items()) and table.sum() == sum(t.values())
-    size, got = model.score(pa.array(texts))
-    assert got[:3] == pytest.approx([slow_bits(model, texts, i) for i in range(3)], rel=1e-3)
+    half = halves_of(spark, range(len(texts)))
+    for h in (0, 1):
+        tally = slow_tally(model, [t for i, t in enumerate(texts) if half[i] == h])
+        for t, table in zip(tally, model.tables[h :: lm.HALVES]):
+            assert all(table[slot] == n for slot, n in t.items()) and table.sum() == sum(t.values())
+    which = np.array([half[i] for i in range(3)])
+    size, got = model.score(pa.array(texts[:3]), which)
+    assert got == pytest.approx([slow_bits(model, texts[i], [t for j, t in enumerate(texts) if half[j] != half[i]]) for i in range(3)], rel=1e-3)
 
 
 def test_lm_sorted_counts_are_dense_counts(monkeypatch):
