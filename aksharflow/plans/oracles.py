@@ -143,5 +143,16 @@ def artifacts(text: str) -> dict[str, str]:
     }
 
 
+def noise(text: str) -> str:
+    """All noise of a text, its Latin letters included; the classes are spelled out here and not taken from the patterns."""
+    deva_ = "\u0900-\u097f"
+    marks = "\u093c\u0901-\u0903\u093e-\u0943\u0947-\u0949\u094b-\u094d"
+    vowels = "\u093e-\u0943\u0945\u0947-\u0949\u094b\u094c"
+    odd = "\u091a\u091b\u091d-\u0920\u0924-\u0928\u092a\u092c-\u0930\u0932\u0935-\u0939\u091e"
+    doubled = [*deva(0x901, 0x903), chr(0x93C), *deva(0x93E, 0x943), chr(0x947), chr(0x948), *deva(0x94B, 0x94D)]
+    parts = [f"[{deva_}]\\s+[{marks}]", f"\u094d\\s+[{deva_}]", f"[{odd}]\u094d?\u093c", f"[{vowels}][\u0901-\u0903]?[{vowels}]", "[A-Za-z]", *(m + "{2,}" for m in doubled)]
+    return "(" + " + ".join(count(text, x) for x in parts) + ")"
+
+
 def words_table(words: frozenset[str]) -> str:
     return "(values " + ", ".join(f"({q(w)})" for w in sorted(words)) + ") w(word)"

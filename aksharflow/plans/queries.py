@@ -98,9 +98,8 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = frequency.train_char_lm(frequency.char_ngrams(_deva_talk(spark, sf_dir), "text", 3))
-    words = spark.createDataFrame([(w,) for w in sorted(lexicon.default_words())], "token string")
-    return frequency.score_tokens(words, model).select("token", F.round("log_prob", 6).alias("log_prob"))
+    model = frequency.train_char_lm(frequency.char_ngrams(_deva(spark, sf_dir), "text", 3))
+    return frequency.score_tokens(_tokens(spark, sf_dir), model).select("token", F.round("log_prob", 6).alias("log_prob"))
 
 
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +256,43 @@ u as (select * from c where font = 'unknown'), l as (select * from c where font
 {O.staged("l", legacy, "doc_id, text, font, issues", "ls")},
 a as (select * from us union all select * from ls),
 r as materialized (select doc_id, font, issues, t, {" + ".join(O.artifacts("text").values())} as before, {art_total} as after from a)"""
+    grams = "n as (select unnest([1, 2, 3]) as n), g as (select n, unnest(list_transform(range(1, length(token) - n + 2), lambda i: array_to_string(string_split(token, '')[i:i + n - 1], ''))) as gram from tok, n where length(token) >= n), k as (select n::int as n, gram, count(*) as cnt from g group by all)"
+    punctuation = detect.PUNCTUATION.replace(chr(92) + "u2000-" + chr(92) + "u206f", chr(0x2000) + "-" + chr(0x206F))
+    latin = f"""coalesce({O.count('text', '[A-Za-z]')} >= greatest(24, 4 * {O.count('text', f'[{P.TOKEN}]')})
+ and len(list_filter(regexp_extract_all(text, '[A-Za-z]{{2,}}'), lambda w: lower(w) in ({english}))) >= 3, false)"""
     return {
+        "char_lm_scores": f"""{deva}, {tokens_}, {grams}, m as (select n, gram, ln(cnt / sum(cnt) over (partition by n, substr(gram, 1, n - 1))) as logp from k),
+v as (select distinct token from tok), w as (select token, unnest(range(1, length(token) + 1)) as i from v),
+a as (select token, i, n, substr(token, i - n + 1, n) as gram from w, n where i >= n),
+b as (select token, i, max_by(logp + ln(0.4) * (least(i, 3) - a.n), a.n) as lp from a join m on a.n = m.n and a.gram = m.gram group by token, i)
+select token, round(sum(coalesce(lp, -12.0)) / count(*), 6)::double as log_prob from w left join b using (token, i) group by token""",
+        "quality_metrics": f"""{deva}, b as (select doc_id, t, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) as n, regexp_replace(t, '\\s', '', 'g') as bare, regexp_extract_all(t, '[{P.TOKEN}]{{3,}}') as tok from d),
+s as (select doc_id, n, len(tok) as tokens, len(list_filter(tok, lambda w: w in ({", ".join(O.q(w) for w in sorted(lexicon.default_words()))}))) as hits, length(bare) as visible,
+ {O.count('t', f'[{P.DEVA}]')} as deva, {O.count('t', '[A-Za-z]')} as latin, {O.noise('t')} as noise,
+ {O.count('bare', punctuation)} as p, {O.count('bare', '[A-Za-z' + chr(0x900) + '-' + chr(0xd7f) + ']')} as l, {O.count('bare', '[0-9]')} as g from b),
+r as (select *, p / nullif(visible, 0)::double as ps, l / nullif(visible, 0)::double as ls, (visible - p - l - g) / nullif(visible, 0)::double as gs from s),
+x as (select *, (n < 50 or ps > 0.5 or ls < 0.4 or gs > 0.3) as bad, round(deva / greatest(visible, 1)::double, 4) as share, round(hits / greatest(tokens, 1)::double, 4) as rate,
+ case when n < 50 then 0.0 when ps > 0.5 then 1.0 - ps when ls < 0.4 then ls when gs > 0.3 then 1.0 - gs else 0.7::double * ls + 0.2::double * (1.0 - gs) + 0.1::double * (1.0 - ps) end::double as score from r)
+select doc_id, tokens::int as token_count, visible::int as visible_char_count, latin::int as latin_char_count, (visible - deva - latin)::int as other_char_count, noise::int as artifact_total, bad as is_garbage,
+ rate as lexicon_hit_rate, share as devanagari_ratio, round(greatest(0.0, least(1.0, score * 0.45::double + share * 0.2::double + rate * 0.25::double + (1.0 - least(noise / greatest(tokens, 1)::double, 1.0)) * 0.1::double))::double, 4) as quality_index from x""",
+        "extract_documents": f"""with b as (select conv_id, turn, text, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from conversations where turn < 3),
+j as (select conv_id, string_agg(text, '' order by turn) as text from b where before < 1000 group by conv_id), e as (select conv_id, {font} as font, {has} as issues from j),
+c as materialized (select conv_id, turn, font, issues, {found} as t from conversations left join e using (conv_id)),
+u as (select * from c where font = 'unknown'), l as (select * from c where font <> 'unknown'),
+{O.staged("u", plain, "conv_id, turn, font, issues", "us")},
+{O.staged("l", legacy, "conv_id, turn, font, issues", "ls")},
+a as (select * from us union all select * from ls)
+select conv_id as path, count(*) as processed_pages, bool_or(issues) as has_encoding_issues, max(font) as detected_font_type, sum({art_total})::bigint as artifact_count, string_agg(t, chr(10) || chr(10) order by turn) as full_text from a group by conv_id""",
+        "compare_pages": f"""with h as (select page_id, trim(regexp_replace(html, '<[^>]*>', ' ', 'g')) as text from pages),
+e as (select page_id, text, {font} as font, {has} as has, {latin} as english from h),
+c as materialized (select page_id, text, font, has, (english and font = 'unknown') as latin, {found} as t from e),
+u as (select * from c where font = 'unknown'), l as (select * from c where font <> 'unknown'),
+{O.staged("u", plain, "page_id, text, font, has, latin", "us")},
+{O.staged("l", legacy, "page_id, text, font, has, latin", "ls")},
+a as (select font, latin, has and not latin as issues, not latin and t <> text as applied from (select * from us union all select * from ls))
+select case when latin then 'raw_only' else 'comparison' end as display_mode,
+ case when latin then 'secondary' when issues and applied and font <> 'unknown' then 'success' when applied or issues then 'info' else 'secondary' end as tone,
+ font as detected_font_type, count(*) as pages, count_if(applied)::bigint as converted from a group by all""",
         "detect_by_lang": f"select lang, {font} as font, count(*) as docs from documents group by all",
         "detect_encoding": f"select doc_id, {has} as has_issues, {font} as font from documents",
         "latin_chunk": f"""select doc_id, coalesce({O.count('text', '[A-Za-z]')} >= greatest(24, 4 * {O.count('text', f'[{P.TOKEN}]')})
