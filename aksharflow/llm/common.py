@@ -15,12 +15,14 @@ _BUCKET_BITS = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         at = sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="aksharflow-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
