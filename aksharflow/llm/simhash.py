@@ -1,8 +1,9 @@
-"""Near duplicates by SimHash over an inverted index of four-bit positions."""
+"""Near duplicates by SimHash over an inverted index of four-bit positions and samples of bits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -14,19 +15,22 @@ from .common import Links, components, maybe_member, membership, stage_table, te
 from .textvec import chunks, splitmix, word_hashes, words
 
 #: Bits of 128 by which near duplicates may differ: on sf0.1 all pairs of up to 18 bits share words in sequence (most of
-#: those at 14 to 18 are edited copies), and the first unrelated ones come at 20. At most 18 means at most 4 in one quarter
-#: of the fingerprint, and so at least 4 of that quarter's 8 four-bit positions equal.
+#: those at 14 to 18 are edited copies), and the first unrelated ones come at 20.
 MAX_DISTANCE = 18
-#: Of 32 four-bit positions, and of a quarter's eight, so many are equal at least.
-MIN_SHARED, MIN_POSITIONS = 32 - MAX_DISTANCE, 8 - MAX_DISTANCE // 4
-#: The first two of a quarter's equal positions; MIN_POSITIONS - 2 more come after them.
-_PAIRS = list(combinations(range(8 - MIN_POSITIONS + 2), 2))
+#: Of a quarter's eight four-bit positions, those whose values are posted two by two: any two of (0, 1, 2), of (3, 4, 5) and of (6, 7).
+_SETS = ((0, 1, 2), (3, 4, 5), (6, 7))
+_PAIRS = [pair for positions in _SETS for pair in combinations(positions, 2)]
+#: The fingerprint in three parts, quarter i with set i of the last quarter, and how many bits may differ within each: all
+#: three can't differ by more in MAX_DISTANCE bits. A part has four sets and at least five positions more than it has
+#: differences, so that two equal positions are of one set.
+BOUNDS = (6, 5, 5)
 PART = 4096
 #: Postings that a task gathers before it searches their lists.
 HELD = 1 << 17
 #: Pairs that are compared at a time, few enough for the cache.
 CACHED = 1 << 13
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 POSTINGS = "key int, id bigint, hi bigint, lo bigint"
 LINKS = "id bigint, first bigint, links bigint, nearest double"
 
@@ -84,66 +88,131 @@ def _keys() -> Column:
     return F.array(*out)
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of differences between halves, how many of the 32 four-bit positions are 0."""
-    marks = []
-    for half in (x, y):
-        bit = half >> np.uint64(1)
-        bit |= half
-        more = bit >> np.uint64(2)
-        bit |= more
-        bit &= np.uint64(0x1111111111111111)
-        marks.append(bit)
-    marks[1] <<= np.uint64(1)
-    marks[0] |= marks[1]
-    return 32 - np.bitwise_count(marks[0])
+def _position(quarter: int, i: int) -> tuple[int, int]:
+    """Masks on the halves of a four-bit position."""
+    mask = 15 << 32 * (quarter % 2) + 4 * i
+    return (0, mask) if quarter // 2 else (mask, 0)
 
 
-def _first_equal(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of differences x and y between halves: (first quarter with MIN_POSITIONS equal positions, the first of these as (rows x MIN_POSITIONS))."""
-    equal = np.stack([(half >> np.uint64(4 * i)) & np.uint64(15) == 0 for half in (x, y) for i in range(16)], axis=1).reshape(-1, 4, 8)
-    quarter = (equal.sum(axis=2) >= MIN_POSITIONS).argmax(axis=1)
-    own = equal[np.arange(len(x)), quarter]
-    return quarter, np.argsort(~own, axis=1, kind="stable")[:, :MIN_POSITIONS]
+def _masks(pairs: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(pairs, np.uint64).reshape(-1, 2)
+
+
+@dataclass
+class Part:
+    """``bits``: masks of the part on the halves; ``lists``: for each group of postings lists of the part, of its two positions; ``samples``: of bits.
+
+    Each bit has a vector of bound + 1 bits, and a sample, which also is one, has the bits whose vectors' product with it
+    is odd. The vectors of up to ``bound`` different bits leave a sample that has none of these: two fingerprints with so
+    few differences in the part agree in all bits of some sample.
+    """
+
+    bound: int
+    bits: np.ndarray
+    groups: np.ndarray
+    lists: np.ndarray
+    samples: np.ndarray
+
+
+def _part(at: int, bound: int) -> Part:
+    positions = [(at, i) for i in range(8)] + [(3, i) for i in _SETS[at]]
+    bits, vector = [], 1
+    for half, mask in ((half, mask) for q, i in positions for half, mask in enumerate(_position(q, i))):
+        for b in range(64):
+            if mask >> b & 1:
+                bits.append((half, b, vector))
+                vector <<= 1  # powers of a root of x^n + x + 1, primitive for 6 and 7: each sample has about half of the bits
+                vector ^= (vector >> bound + 1) * ((1 << bound + 1) | 3)
+    samples = [[sum(1 << b for half, b, v in bits if half == h and (v & s).bit_count() % 2) for h in range(2)] for s in range(1, 1 << bound + 1)]
+    own = [(q, c) for q in (at, 3) for c, pair in enumerate(_PAIRS) if q == at or set(pair) <= set(_SETS[at])]
+    pairs = [[_position(q, i) for i in _PAIRS[c]] for q, c in own]
+    return Part(
+        bound,
+        _masks([tuple(sum(1 << b for half, b, _ in bits if half == h) for h in range(2))]),
+        np.array([q * len(_PAIRS) + c for q, c in own]),
+        _masks([tuple(a | b for a, b in zip(*two)) for two in pairs]),
+        _masks(samples),
+    )
+
+
+_PARTS = [_part(i, bound) for i, bound in enumerate(BOUNDS)]
+
+
+def _differ(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Of differences between halves, how many bits lie in a mask."""
+    return np.bitwise_count(x & mask[0]) + np.bitwise_count(y & mask[1])
+
+
+def _is_first(part: int, group: np.ndarray, sample: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the differences that have their first part within its bound, first list and first sample here."""
+    own = _PARTS[part]
+    at = np.flatnonzero(_differ(x, y, own.bits[0]) <= own.bound)
+    for other in _PARTS[:part]:
+        at = at[_differ(x[at], y[at], other.bits[0]) > other.bound]
+    for g, mask in zip(own.groups.tolist(), own.lists):
+        at = at[(group[at] <= g) | (_differ(x[at], y[at], mask) > 0)]
+    for mask in own.samples[:sample]:
+        if not len(at):
+            break
+        at = at[((x[at] & mask[0]) | (y[at] & mask[1])) != 0]
+    return at
+
+
+def _run_pairs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with equal values (sorted), about CACHED at a time."""
+    same = run[1:] == run[:-1]
+    if not same.any():
+        return
+    edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
+    begin, size = edge[::2], edge[1::2] - edge[::2]  # places that have an equal one after them, by runs
+    ends = np.cumsum(size)
+    within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    at, times = np.repeat(begin, size) + within, np.repeat(size, size) - within
+    total, lo = np.cumsum(times), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - times[lo] + CACHED, side="right")))
+        n = times[lo:hi]
+        one = np.repeat(at[lo:hi], n)
+        yield one, one + 1 + np.arange(len(one)) - np.repeat(total[lo:hi] - n - (total[lo] - times[lo]), n)
+        lo = hi
 
 
 def _matches(key: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(one, other, Hamming distance) of pairs within runs of equal keys (sorted).
 
-    Those that agree at each MIN_POSITIONS - 2 positions after the key's are counted: a pair that shares MIN_SHARED of
-    all positions is verified by its Hamming distance, any other can't be near. Each pair comes at its first positions only.
+    For each sample of the lists' part, those that agree in its bits are verified by the Hamming distance. Each pair
+    comes at its first part, list and sample only.
     """
-    groups, starts = np.unique(key >> 8, return_index=True)
-    for group, a, b in zip(groups.tolist(), starts, [*starts[1:], len(key)]):
-        quarter, pair = divmod(group, len(_PAIRS))
-        head = _PAIRS[pair]
-        own = (hi, lo)[quarter // 2][a:b] >> np.uint64(32 * (quarter % 2))
-        for tail in combinations(range(head[1] + 1, 8), MIN_POSITIONS - 2):
-            value = (key[a:b] & 255).astype(np.uint16)
-            for i in tail:
-                value = (value << np.uint16(4)) | ((own >> np.uint64(4 * i)) & np.uint64(15)).astype(np.uint16)
-            order = np.argsort(value, kind="stable")
-            run, x, y = value[order], hi[a:b][order], lo[a:b][order]
-            at, lag = np.arange(b - a), 1
-            while True:
-                at = at[at + lag < len(run)]
-                at = at[run[at] == run[at + lag]]
-                if not len(at):
-                    break
-                for part in np.array_split(at, -(-len(at) // CACHED)):
-                    dx, dy = x[part] ^ x[part + lag], y[part] ^ y[part + lag]
-                    near = np.flatnonzero(_shared(dx, dy) >= MIN_SHARED)
-                    dx, dy = dx[near], dy[near]
-                    distance = np.bitwise_count(dx) + np.bitwise_count(dy)
-                    close = distance <= MAX_DISTANCE
-                    if not close.any():
-                        continue
-                    near, dx, dy, distance = near[close], dx[close], dy[close], distance[close]
-                    where, positions = _first_equal(dx, dy)
-                    first = (where == quarter) & (positions == np.array(head + tail)).all(axis=1)
-                    near = part[near[first]]
-                    yield ids[a:b][order[near]], ids[a:b][order[near + lag]], distance[first]
-                lag += 1
+    for p, part in enumerate(_PARTS):
+        own = np.flatnonzero(np.isin(key >> 8, part.groups))
+        if len(own) < 2:
+            continue
+        keys, x, y = key[own], hi[own], lo[own]
+        width = np.uint64(len(own).bit_length())
+        place = np.arange(len(own), dtype=np.uint64)
+        low = (np.uint64(1) << width) - np.uint64(1)
+        salt = splitmix(keys.astype(np.uint64))
+        for sample, (mx, my) in enumerate(part.samples):
+            value = (x & mx) * _MIX[0]
+            value += (y & my) * _MIX[1]
+            value ^= salt
+            value &= ~low
+            value |= place
+            value.sort()
+            order = (value & low).astype(np.int64)
+            value >>= width
+            # the half that holds less of the part rules out more
+            halves = (x, y) if p == 2 else (y, x)
+            for a, b in _run_pairs(value):
+                a, b = order[a], order[b]
+                near = np.flatnonzero(np.bitwise_count(halves[0][a] ^ halves[0][b]) <= MAX_DISTANCE)
+                a, b = a[near], b[near]
+                dx, dy = x[a] ^ x[b], y[a] ^ y[b]
+                distance = np.bitwise_count(dx) + np.bitwise_count(dy)
+                near = np.flatnonzero((distance <= MAX_DISTANCE) & (keys[a] == keys[b]))
+                near = near[_is_first(p, keys[a[near]] >> 8, sample, dx[near], dy[near])]
+                if len(near):
+                    yield ids[own[a[near]]], ids[own[b[near]]], distance[near]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +249,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     included, ``links`` the other fingerprints to which it is linked, and ``distance`` is the least number of bits to
     another row (null where there is none).
 
-    The search is exact: a pair agrees in at least MIN_SHARED of 32 four-bit positions, and so in at least
-    MIN_POSITIONS of the eight of some quarter. Fingerprints are posted under each pair of positions that can be the
-    first two of these, with the bits there; within a posting list those that agree in the further positions too have
-    their shared positions counted, and those that reach the minimum are verified by the Hamming distance. Links are
-    counted where they are found, so that a class of many different fingerprints isn't written pair by pair.
+    The search is exact: of three parts of the fingerprint, one differs in at most its bound of bits, and so agrees in two
+    positions of one of its sets, and in one of its samples of bits. Fingerprints are posted under each pair of positions
+    of a set, with the bits there; within a posting list those that agree in a sample are verified by the Hamming
+    distance. A list and a sample fix 20 to 30 bits together, so that few others are compared. Links are counted where
+    they are found, so that a class of many different fingerprints isn't written pair by pair.
 
     The fingerprint is that of the lower-case words of the whole text, however long, so that case, order, punctuation
     and white space don't count. Documents without a word (null, empty or punctuation only) have no fingerprint: each is

@@ -225,3 +225,65 @@ def test_simhash_positions_guarantee_the_distance():
         hi, lo = (np.array([r[k] for r in rows], np.uint64) for k in (2, 3))
         found = [p for part in simhash._matches(key, ids, hi, lo) for p in zip(*(v.tolist() for v in part))]
         assert [(*sorted(p[:2]), p[2]) for p in found] == [(0, 1, len(bits))]
+
+
+def postings(prints):
+    """(key, row, hi, lo) sorted by key, for an (n x 2) array of halves."""
+    rows = []
+    for quarter in range(4):
+        at = [prints[:, quarter // 2] >> np.uint64(32 * (quarter % 2) + 4 * i) & np.uint64(15) for i in range(8)]
+        rows += [((quarter * len(simhash._PAIRS) + c) << 8 | (at[i] << np.uint64(4) | at[j]).astype(int)) for c, (i, j) in enumerate(simhash._PAIRS)]
+    key, row = np.concatenate(rows), np.tile(np.arange(len(prints)), len(rows))
+    order = np.argsort(key, kind="stable")
+    return key[order], row[order], *prints[row[order]].T.copy()
+
+
+def biased(n, seed):
+    """Fingerprints as those of one language: a bit is 1 with a probability of its own, 0.18 off one half on average."""
+    rng = np.random.default_rng(seed)
+    share = np.clip(0.5 + 0.22 * rng.standard_normal(128), 0.07, 0.93)
+    return np.packbits(rng.random((n, 128)) < share, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_simhash_pairs_of_many_against_brute_force():
+    """Pairs at all distances up to three beyond the greatest, among fingerprints that share many bits: each near one comes once."""
+    prints, rng = biased(6000, 21), np.random.default_rng(22)
+    for i in range(0, 400, 2):
+        prints[i + 1] = prints[i]
+        for bit in rng.choice(128, 1 + i // 2 % (simhash.MAX_DISTANCE + 3), replace=False).tolist():
+            prints[i + 1, bit // 64] ^= np.uint64(1 << bit % 64)
+    expected = set()
+    for i in range(len(prints)):
+        distance = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1)
+        expected |= {(i, i + 1 + j, int(distance[j])) for j in np.flatnonzero(distance <= simhash.MAX_DISTANCE).tolist()}
+    found = [(*sorted(p[:2]), p[2]) for part in simhash._matches(*postings(prints)) for p in zip(*(v.tolist() for v in part))]
+    assert len(found) == len(expected) and set(found) == expected and len(expected) >= 170
+
+
+def test_simhash_compares_few_pairs(monkeypatch):
+    """Among 6000 fingerprints without near ones, each is compared with fewer than 60; samples of 16 bits would take 156."""
+    counted, compared = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(len(x)) or counted(x))
+    assert not [p for part in simhash._matches(*postings(biased(6000, 21))) for p in part[0]]
+    assert sum(compared) < 60 * 6000
+
+
+def test_simhash_lists_of_several_tasks_hold_each_pair_once(monkeypatch):
+    """One long list and many short ones, cut anywhere between lists."""
+    prints = biased(300, 23)
+    prints[:120, 0] &= ~np.uint64(0xFF)
+    for i in range(120):
+        prints[i, 1] = prints[0, 1] ^ np.uint64(1 << i % 60)
+        prints[i, 0] = prints[0, 0] ^ np.uint64(1 << (8 + i % 50))
+    found = []
+    for held in (1, 500, 1 << 17):
+        monkeypatch.setattr(simhash, "HELD", held)
+        key, row, hi, lo = postings(prints)
+        batches = [pa.RecordBatch.from_arrays([pa.array(v[a : a + 97]) for v in (key, row, hi.view(np.int64), lo.view(np.int64))], names=["key", "id", "hi", "lo"]) for a in range(0, len(key), 97)]
+        total = {}
+        for b in simhash._tally(iter(batches)):
+            for r in b.to_pylist():
+                total[r["id"]] = total.get(r["id"], 0) + r["links"]
+        found.append(total)
+    near = [(np.bitwise_count(prints ^ p).sum(axis=1) <= simhash.MAX_DISTANCE).sum() - 1 for p in prints]
+    assert found[0] == found[1] == found[2] == {i: n for i, n in enumerate(near) if n} and found[0][0] >= 100
