@@ -137,11 +137,14 @@ def contexts(data: np.ndarray, offs: np.ndarray, kind: type = np.uint32, orders:
     return before[0].astype(np.int64) << 8 | data, hashes
 
 
-def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(decisions of each byte, place of each decision in the code)."""
-    size = code.size[pair]
-    shift = code.start[pair] - (np.cumsum(size) - size)
-    return size, np.repeat(shift, size) + np.arange(size.sum())
+def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(decisions of each byte, byte of each decision, its place in the code)."""
+    size = code.size.take(pair)
+    shift = code.start.take(pair) - (np.cumsum(size) - size)
+    byte = np.repeat(np.arange(len(pair)), size)
+    place = shift.take(byte)
+    place += np.arange(len(place))
+    return size, byte, place
 
 
 def _slots(context: np.ndarray, size: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
@@ -267,29 +270,31 @@ class Model:
             self.mapped = _open_tables(self.at, self.bits, self.span)
         return self.mapped
 
-    def predictions(self, data: np.ndarray, offs: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(decisions of each byte, the bit of each decision, its log odds of a 1 by each predictor, its gate).
+    def predictions(self, data: np.ndarray, offs: np.ndarray, half: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(decisions of each byte, byte of each decision, log odds of its outcome by each predictor, its gate) of the bytes in
+        ``order``, which keeps those of a document as they are.
 
         Nothing that these depend on lies ahead in the document: tables are those of the other half, and the local
         predictor has the document's own decisions so far.
         """
         kind, prior = _hash_type(self.bits), np.float32(PRIOR)
         pair, (*hashes, local) = contexts(data, offs, kind, (*ORDERS, LOCAL))
-        size, place = decisions(self.code, pair)
-        step = self.code.step[place]
+        size, byte, place = decisions(self.code, pair[order])
+        step = self.code.step.take(place)
         bit = step & kind(1)
-        odds = np.empty((len(step), 2 + len(ORDERS)), np.float32)
-        odds[:, 0] = self.code.odds[place]
+        odds = np.empty((2 + len(ORDERS), len(step)), np.float32)
+        np.take(self.code.odds, place, out=odds[0])
         for i, h in enumerate(hashes):
-            both = np.take(self.tables[i * HALVES + 1 - half].view(np.complex64), _slots(h, size, step, self.bits) >> kind(1))
+            both = np.take(self.tables[i * HALVES + 1 - half].view(np.complex64), _slots(h[order], size, step, self.bits) >> kind(1))
             n0, n1 = both.real, both.imag
-            odds[:, i + 1] = np.log((n1 + prior) / (n0 + prior))
-        met = n0 + n1
-        gate = (met >= GATE_EDGES[0]).astype(np.int8) + (met >= GATE_EDGES[1]) + (met >= GATE_EDGES[2])
-        owner = np.repeat(np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs)), size)
-        at, n0, n1 = met_before(owner, np.repeat(local, size) ^ step, bit)
-        odds[at, -1] = np.log((n1 + prior) / (n0 + prior))
-        return size, bit.astype(np.float32), odds, gate
+            met = n0 + n1
+            np.log((n1 + prior) / (n0 + prior), out=odds[i + 1])
+        gate = (met >= GATE_EDGES[0]).view(np.int8) + (met >= GATE_EDGES[1]) + (met >= GATE_EDGES[2])
+        owner = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))[order].take(byte)
+        at, n0, n1 = met_before(owner, local[order].take(byte) ^ step, bit)
+        odds[-1, at] = np.log((n1.astype(np.float32) + prior) / (n0.astype(np.float32) + prior))
+        odds *= 2 * bit.astype(np.float32) - 1
+        return size, byte, odds, gate
 
     def score(self, text: pa.Array, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bits) of each text, which belongs to ``half``."""
@@ -309,34 +314,33 @@ class Model:
             size_of[at:end] = np.diff(offs)
             if not len(data):
                 continue
-            size, bit, odds, gate = self.predictions(data, offs, half)
-            rows, gates = end - at, len(START)
-            weights = np.tile(START, (rows, 1))
-            length = np.diff(offs)
-            order = np.argsort(-length, kind="stable")
-            falling = -length[order]
-            begin = np.concatenate([[0], np.cumsum(size)])
-            for lo, hi in _steps(int(length.max())):
-                live = order[: np.searchsorted(falling, -lo)]
-                part = np.minimum(length[live], hi) - lo
-                a, b = begin[offs[live] + lo], begin[offs[live] + lo + part]
-                times = b - a
-                ends = np.cumsum(times)
-                pick = np.repeat(a - (ends - times), times) + np.arange(ends[-1])
-                cell = np.repeat(live * gates, times) + gate[pick]
-                x = odds[pick]
-                mixed = np.einsum("ij,ij->i", x, weights[cell])
-                np.clip(mixed, -14, 14, out=mixed)
-                sign = 1 - 2 * bit[pick]
-                mixed *= sign
-                lost = np.exp(mixed)
-                lost += 1
-                total[at + live] += np.add.reduceat(np.log(lost), ends - times, dtype=np.float64)
-                if (part == hi - lo).any():
-                    slope = (1 / lost - 1) * sign
+            rows, gates, length = end - at, len(START), np.diff(offs)
+            steps = list(_steps(int(length.max())))
+            within = np.arange(len(data)) - np.repeat(offs[:-1], length)
+            step_of = np.repeat(np.arange(len(steps), dtype=np.int32), [hi - lo for lo, hi in steps])[within]
+            order = np.argsort(step_of, kind="stable")  # bytes by steps, so that a step's decisions lie together
+            size, byte, odds, gate = self.predictions(data, offs, half, order)
+            owner = np.repeat(np.arange(rows), length)[order]
+            cells = (owner * gates).take(byte) + gate
+            ends = np.append(0, np.cumsum(size))
+            bounds = ends[np.searchsorted(step_of[order], np.arange(len(steps) + 1))].tolist()
+            weights, lost = np.tile(START.T, (1, rows)), np.empty(len(cells), np.float32)
+            for (lo, hi), a, b in zip(steps, bounds, bounds[1:]):
+                cell, x, part = cells[a:b], odds[:, a:b], lost[a:b]
+                np.multiply(x[0], weights[0].take(cell), out=part)
+                for k in range(1, len(x)):
+                    part += x[k] * weights[k].take(cell)
+                np.clip(part, -14, 14, out=part)
+                np.negative(part, out=part)
+                np.exp(part, out=part)
+                part += 1
+                if hi <= length.max():
+                    slope = 1 - 1 / part
                     rate = RATE / (np.maximum(np.bincount(cell, minlength=rows * gates), 1) + WARM)
-                    for k in range(x.shape[1]):
-                        weights[:, k] += rate * np.bincount(cell, slope * x[:, k], rows * gates)
+                    for k in range(len(x)):
+                        weights[k] += rate * np.bincount(cell, slope * x[k], rows * gates)
+            np.log(lost, out=lost)
+            total[at:end] = np.bincount(owner, np.add.reduceat(lost, ends[:-1], dtype=np.float64), rows)
         return size_of, total / np.log(2)
 
 
@@ -385,8 +389,8 @@ def fit(docs: DataFrame) -> Model:
             for half in range(HALVES):
                 for _, _, data, offs in chunks(batch.column(0).take(pa.array(np.flatnonzero(halves == half)))):
                     pair, hashes = contexts(data, offs, kind)
-                    size, place = decisions(code, pair)
-                    step = code.step[place]
+                    size, _, place = decisions(code, pair)
+                    step = code.step.take(place)
                     for i, h in enumerate(hashes):
                         c = counters[i * HALVES + half]
                         c.add(_slots(h, size, step, bits))

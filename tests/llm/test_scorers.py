@@ -443,3 +443,23 @@ def test_lm_sorted_counts_are_dense_counts(monkeypatch):
     out[at] += n
     at, n = dense.take()
     assert (out[at] == n).all() and out.sum() == n.sum()
+
+
+def test_lm_predictions_by_steps(spark):
+    """A chunk's decisions are laid out step by step, so that none is gathered again; each has the odds and the gate that it has in the order of documents."""
+    rng = np.random.default_rng(18)
+    texts = [" ".join(rng.choice(["stone", "house", "été", "x"], int(n))) for n in (2, 90, 7, 30, 90, 1)]
+    model = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    length = np.array([len(t.encode()) for t in texts])
+    offs = np.append(0, np.cumsum(length))
+    within = np.arange(len(data)) - np.repeat(offs[:-1], length)
+    step = np.searchsorted([hi for _, hi in lm._steps(int(length.max()))], within, side="right")
+    order = np.argsort(step, kind="stable")
+    assert len(set(step)) > 5 and (order != np.arange(len(data))).any()
+    size, byte, odds, gate = model.predictions(data, offs, 0, order)
+    plain_size, plain_byte, plain_odds, plain_gate = model.predictions(data, offs, 0, np.arange(len(data)))
+    assert (size == plain_size[order]).all() and (byte == np.repeat(np.arange(len(data)), size)).all()
+    begin = np.cumsum(plain_size) - plain_size
+    place = np.concatenate([np.arange(begin[i], begin[i] + plain_size[i]) for i in order])
+    assert (plain_byte[place] == order[byte]).all() and (odds == plain_odds[:, place]).all() and (gate == plain_gate[place]).all() and len(set(gate)) > 1
