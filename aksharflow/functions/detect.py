@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import texts
 
 KRUTIDEV_SIGNS = ("osQ", "kjk", "ykZ", "Fk", "Hk", "/k", "'k")
 CHANAKYA_SIGNS = ("Aa", "ao", "AO", "\xac", "\xa4")
@@ -36,16 +37,12 @@ def count(text: Column, regex: str) -> Column:
 
 def detect_encoding(text: Column) -> Column:
     """struct(has_issues, font): whether the text looks like a legacy glyph font, and like which one."""
-    share = ratio(count(text, f"[{P.DEVA}]"), F.length(text))
-    sums = F.struct(*(_sum([occurrences(text, s) for s in signs]).alias(n) for n, signs in (("k", KRUTIDEV_SIGNS), ("c", CHANAKYA_SIGNS), ("g", GENERAL_SIGNS))))
+    signs = {"k": KRUTIDEV_SIGNS, "c": CHANAKYA_SIGNS, "g": GENERAL_SIGNS}
+    s = texts.measured(text, {"deva": f"[{P.DEVA}]"}, {}, ["deva", *signs], literals=signs)
+    share = ratio(s["deva"], F.length(text))
     none = F.struct(F.lit(False).alias("has_issues"), F.lit("unknown").alias("font"))
-
-    def decide(s: Column) -> Column:
-        font = F.when(s["k"] >= s["c"], F.lit("krutidev")).otherwise(F.lit("chanakya"))
-        return F.when((s["k"] + s["c"] + s["g"] > 4) & (share < 0.1), F.struct(F.lit(True).alias("has_issues"), font.alias("font"))).otherwise(none)
-
-    # the array holds the counts so that each is computed once
-    return F.when(text.isNull() | (F.length(text) == 0) | (share > 0.3), none).otherwise(F.element_at(F.transform(F.array(sums), decide), 1))
+    font = F.when(s["k"] >= s["c"], F.lit("krutidev")).otherwise(F.lit("chanakya"))
+    return F.when((s["k"] + s["c"] + s["g"] > 4) & (share < 0.1), F.struct(F.lit(True).alias("has_issues"), font.alias("font"))).otherwise(none)
 
 
 ARTIFACTS = (
@@ -59,20 +56,26 @@ ARTIFACTS = (
 )
 
 
+def _counted(text: Column) -> Column:
+    """struct of the artefacts and deva, the Devanagari characters; null for null."""
+    return texts.measured(text, {"deva": f"[{P.DEVA}]"}, dict(ARTIFACTS), ["deva", *dict(ARTIFACTS)])
+
+
 def count_artifacts(text: Column) -> Column:
     """struct of the seven extraction artefacts and their total."""
-    counts = F.struct(*(F.coalesce(count(text, r), F.lit(0)).alias(n) for n, r in ARTIFACTS))
-    whole = lambda s: F.struct(*(s[n].alias(n) for n, _ in ARTIFACTS), _sum([s[n] for n, _ in ARTIFACTS]).alias("total"))
-    return F.element_at(F.transform(F.array(counts), whole), 1)
+    found = _counted(text)
+    counts = [F.coalesce(found[n], F.lit(0)) for n, _ in ARTIFACTS]
+    return F.struct(*(c.alias(n) for c, (n, _) in zip(counts, ARTIFACTS)), _sum(counts).alias("total"))
 
 
 def artifact_total(text: Column) -> Column:
-    return _sum([F.coalesce(count(text, r), F.lit(0)) for _, r in ARTIFACTS])
+    return count_artifacts(text)["total"]
 
 
 def detect_scrambled(text: Column, threshold: float = 0.01) -> Column:
-    deva = count(text, f"[{P.DEVA}]")
-    return F.coalesce((deva >= 50) & (ratio(deva, F.length(text)) >= 0.3) & (ratio(artifact_total(text), deva) > threshold), F.lit(False))
+    found = _counted(text)
+    total = _sum([F.coalesce(found[n], F.lit(0)) for n, _ in ARTIFACTS])
+    return F.coalesce((found["deva"] >= 50) & (ratio(found["deva"], F.length(text)) >= 0.3) & (ratio(total, found["deva"]) > threshold), F.lit(False))
 
 
 PUNCTUATION = r"[.,!?;:()\[\]{}\"'\-=/\u2000-\u206f]"
@@ -82,11 +85,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+$", "")
 
 
-def garbage(text: Column) -> Column:
-    """struct(is_garbage, score, reason): whether a page's text is too noisy to use."""
-    bare = F.regexp_replace(text, P.WS, "")
-    total = F.length(bare)
-    point, letter, digit = count(bare, PUNCTUATION), count(bare, "[A-Za-z\u0900-\u0d7f]"), count(bare, "[0-9]")
+#: Characters by which a text is judged.
+KINDS = {"point": PUNCTUATION, "letter": "[A-Za-z\u0900-\u0d7f]", "digit": "[0-9]"}
+
+
+def garbage(text: Column, counts: Column | None = None) -> Column:
+    """struct(is_garbage, score, reason): whether a page's text is too noisy to use. ``counts``: struct of length, visible and KINDS."""
+    if counts is None:
+        counts = texts.measured(text, KINDS, {}, ["length", "visible", *KINDS])
+    total, point, letter, digit = (counts[n] for n in ("visible", *KINDS))
     shares = F.struct(ratio(point, total).alias("p"), ratio(letter, total).alias("l"), ratio(total - point - letter - digit, total).alias("g"))
     result = lambda bad, score, reason: F.struct(F.lit(bad).alias("is_garbage"), score.cast("double").alias("score"), reason.alias("reason"))
     percent = lambda what, x: F.format_string(f"{what}: %.1f%%", x * 100)
@@ -100,7 +107,7 @@ def garbage(text: Column) -> Column:
             .otherwise(result(False, F.lit(0.7) * letters + F.lit(0.2) * (1.0 - g) + F.lit(0.1) * (1.0 - p), F.lit("Text quality acceptable")))
         )
 
-    short = text.isNull() | (F.length(strip(text)) < 50)
+    short = text.isNull() | (counts["length"] < 50)
     return F.when(short, result(True, F.lit(0.0), F.lit("Text too short (< 50 chars)"))).otherwise(F.element_at(F.transform(F.array(shares), decide), 1))
 
 

@@ -6,10 +6,13 @@ import re
 from functools import cache
 from importlib.resources import files
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import texts
 from .detect import detect_encoding
 
 FONTS = ("krutidev", "chanakya", "walkman_chanakya")
@@ -103,8 +106,13 @@ def reorder_i(text: Column) -> Column:
     return F.regexp_replace(text, f"{P.I_SIGN}(\u0902?)({P.CLUSTER})", f"$2{P.I_SIGN}$1")
 
 
+@cache
+def substitution(font: str) -> texts.Substitution:
+    return texts.Substitution(mapping(font), font in REORDERED)
+
+
 def convert(text: Column, font: str | Column = "auto") -> Column:
-    """Greedy longest-match substitution, left to right, then reordering where the font needs it.
+    """Greedy longest-match substitution, left to right, then reordering where the font needs it; in a worker.
 
     ``font``: a name, "auto" (what detect_encoding finds, krutidev where it finds none) or a column of names. A name
     that is no font leaves the text as it is.
@@ -112,10 +120,21 @@ def convert(text: Column, font: str | Column = "auto") -> Column:
     if isinstance(font, str):
         if font == "auto":
             found = detect_encoding(text)["font"]
-            return convert(text, F.when(found == "unknown", F.lit("krutidev")).otherwise(found))
+            return convert(text, F.coalesce(F.nullif(found, F.lit("unknown")), F.lit("krutidev")))
         if font not in FONTS:
             return text
-        out = _substitute(text, font)
-        return reorder_i(out) if font in REORDERED else out
-    # both fonts that reorder use one table
-    return F.when(font.isin(*REORDERED), reorder_i(_substitute(text, "krutidev"))).when(font == "chanakya", _substitute(text, "chanakya")).otherwise(text)
+
+        def run(text: pa.Array) -> pa.Array:
+            return texts.each(text, substitution(font))
+
+        return F.arrow_udf(run, "string")(text)
+
+    def by_row(text: pa.Array, font: pa.Array) -> pa.Array:
+        done = text
+        for name in FONTS:
+            asked = pc.fill_null(pc.equal(font, name), False)
+            if pc.any(asked).as_py():
+                done = pc.if_else(asked, texts.each(pc.if_else(asked, text, None), substitution(name)), done)
+        return done
+
+    return F.arrow_udf(by_row, "string")(text, font)

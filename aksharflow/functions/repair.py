@@ -1,13 +1,17 @@
-"""Repair of converted or extracted Devanagari as chains of built-in expressions."""
+"""Repair of converted or extracted Devanagari."""
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import texts
 
 
 def steps(repair: bool) -> list[tuple[str, str]]:
@@ -36,8 +40,32 @@ def steps(repair: bool) -> list[tuple[str, str]]:
     return out
 
 
+@cache
+def chain(repair: bool) -> texts.Repair:
+    return texts.Repair(steps(repair))
+
+
 def post_process(text: Column, repair: bool | Column = True) -> Column:
-    """The whole chain; with a column for ``repair``, the step that it switches is guarded row by row."""
+    """The whole chain, in a worker; ``repair`` may be a column, row by row."""
+    if isinstance(repair, bool):
+
+        def run(text: pa.Array) -> pa.Array:
+            return texts.each(text, chain(repair))
+
+        return F.arrow_udf(run, "string")(text)
+
+    def by_row(text: pa.Array, repair: pa.Array) -> pa.Array:
+        # null is no
+        asked = pc.fill_null(repair, False)
+        yes = texts.each(pc.if_else(asked, text, None), chain(True))
+        no = texts.each(pc.if_else(asked, None, text), chain(False))
+        return pc.coalesce(yes, no)
+
+    return F.arrow_udf(by_row, "string")(text, repair)
+
+
+def post_process_chain(text: Column, repair: bool | Column = True) -> Column:
+    """The same as built-in expressions, step by step; with a column for ``repair``, the step that it switches is guarded row by row."""
     optional = set(steps(True)) - set(steps(False))
     doubled = [(m + m, m) for m in P.SINGLE_MARKS]
     for regex, to in steps(repair if isinstance(repair, bool) else True):

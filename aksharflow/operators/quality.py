@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.detect import NOISE, count, garbage
+from ..functions.detect import KINDS, NOISE, garbage
+from ..functions.texts import measured
 from .lexicon import default_words
 
 
@@ -22,13 +23,12 @@ def measure_quality(text: Column, words: set[str] | frozenset[str] | None = None
     """
     text = F.coalesce(text, F.lit(""))
     words = default_words() if words is None else words
-    tokens = measured_tokens(text)
-    if hits is None:
-        hits = F.size(F.filter(tokens, lambda t: t.isin(*sorted(words)))) if words else F.lit(0)
-    visible = F.length(F.regexp_replace(text, P.WS, ""))
-    deva, latin = count(text, f"[{P.DEVA}]"), count(text, "[A-Za-z]")
-    noise = F.struct(*((latin if n == "latin_residue" else count(text, r)).alias(n) for n, r in NOISE))
-    base = F.struct(F.size(tokens).alias("token_count"), hits.alias("hits"), visible.alias("visible"), deva.alias("deva"), latin.alias("latin"), noise.alias("noise"), garbage(text).alias("garbage"))
+    noises = {n: r for n, r in NOISE if n != "latin_residue"}
+    names = ["tokens", "hits", "length", "visible", "deva", "latin", *KINDS, *noises]
+    found = measured(text, {"deva": f"[{P.DEVA}]", "latin": "[A-Za-z]"} | KINDS, noises, names, frozenset(words) if hits is None else frozenset())
+    noise = F.struct(*(found["latin" if n == "latin_residue" else n].alias(n) for n, _ in NOISE))
+    given = found["hits"] if hits is None else hits
+    base = F.struct(found["tokens"].alias("token_count"), given.alias("hits"), found["visible"].alias("visible"), found["deva"].alias("deva"), found["latin"].alias("latin"), noise.alias("noise"), garbage(text, found).alias("garbage"))
 
     def whole(b: Column) -> Column:
         total = sum((b["noise"][n] for n, _ in NOISE[1:]), b["noise"][NOISE[0][0]])
