@@ -36,6 +36,15 @@ def _deva(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", glyphs.convert(F.col("text"), "krutidev").alias("text"))
 
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, n): the distinct words of documents, converted, and how often each occurs.
+
+    No glyph holds a blank or a line break, nor does a token: words between them give the tokens that their texts give.
+    """
+    words = _docs(spark, sf_dir).select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.select(glyphs.convert(F.col("w"), "krutidev").alias("text"), "n")
+
+
 def _deva_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", glyphs.convert(F.col("text"), "krutidev").alias("text"))
 
@@ -90,28 +99,26 @@ def scrambled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequency_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.token_frequencies(_deva(spark, sf_dir), "text")
+    return frequency.token_frequencies(_words(spark, sf_dir), "text", times="n")
 
 
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.char_ngrams(_deva(spark, sf_dir), "text", 3)
+    return frequency.char_ngrams(_words(spark, sf_dir), "text", 3, "n")
 
 
 def char_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = frequency.train_char_lm(frequency.char_ngrams(_deva(spark, sf_dir), "text", 3))
+    model = frequency.train_char_lm(frequency.char_ngrams(_words(spark, sf_dir), "text", 3, "n"))
     return frequency.score_tokens(_tokens(spark, sf_dir), model).select("token", F.round("log_prob", 6).alias("log_prob"))
 
 
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexicon.Lexicon.of(spark).general().withColumnRenamed("word", "token")
-    counted = _deva(spark, sf_dir).select(F.explode(tokens.tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return counted.join(words, "token", "left_semi")
+    return frequency.counted_tokens(_words(spark, sf_dir), "text", "n").join(words, "token", "left_semi")
 
 
 def lexicon_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexicon.Lexicon.of(spark).general().withColumnRenamed("word", "token")
-    counted = _deva(spark, sf_dir).select(F.explode(tokens.tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return counted.join(words, "token", "left_anti")
+    return frequency.counted_tokens(_words(spark, sf_dir), "text", "n").join(words, "token", "left_anti")
 
 
 def contextual_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +126,7 @@ def contextual_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.distinct_tokens(_deva(spark, sf_dir), "text")
+    return tokens.distinct_tokens(_words(spark, sf_dir), "text")
 
 
 def normalized_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,68 @@
+"""Work grows with the input: texts are passed once, what is the same for equal words is done once for each word."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from aksharflow.functions import detect, glyphs, repair
+from aksharflow.functions import patterns as P
+from aksharflow.operators import frequency
+from aksharflow.plans.queries import QUERIES
+from helpers import many
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def odd_texts(n=600):
+    r = random.Random(5)
+    letters, marks = [chr(i) for i in range(0x915, 0x91A)] + [P.HALANT], [c for c in map(chr, range(0x900, 0x980)) if re.match(f"[{P.MARKS}]", c)]
+    kinds = [letters, marks, marks, [" ", " ", "  ", "\n", " \n ", "\n\n"], [" "], [*P.AUXILIARIES, "श्श्ि", "डड़", "इएं", "ेें", "ककक"], list("abksS./'(9"), ["\t", "\x01", "‍", "\xa0", "", "\U000f0001", "\x85", " "]]
+    return ["".join(r.choice(r.choice(kinds)) for _ in range(r.choice([1, 4, 12, 60]))) for _ in range(n)] + [None, "", " ", "\n"]
+
+
+def test_rewriting_in_a_worker_equals_the_chain(spark):
+    texts = odd_texts()
+    for flag in (True, False, F.lit(True)):
+        assert many(spark, texts, lambda c: repair.post_process(c, flag)) == many(spark, texts, lambda c: repair.post_process_chain(c, flag))
+    for font in ("krutidev", "chanakya"):
+        plain = lambda c: glyphs.reorder_i(glyphs._plain_substitute(c, font)) if font in glyphs.REORDERED else glyphs._plain_substitute(c, font)
+        assert many(spark, texts, lambda c: glyphs.convert(c, font)) == many(spark, texts, plain)
+
+
+def test_counting_in_a_worker_equals_the_expressions(spark):
+    texts = odd_texts()
+    want = lambda c: F.struct(*(F.coalesce(detect.count(c, r), F.lit(0)).alias(n) for n, r in detect.ARTIFACTS))
+    assert [tuple(x)[:-1] for x in many(spark, texts, detect.count_artifacts)] == [tuple(x) for x in many(spark, texts, want)]
+    from aksharflow.operators.quality import measure_quality
+
+    noise = [x["artifact_counts"] for x in many(spark, texts, measure_quality)]
+    assert [tuple(x) for x in noise] == [tuple(x) for x in many(spark, texts, lambda c: F.struct(*(F.coalesce(detect.count(c, r), F.lit(0)).alias(n) for n, r in detect.NOISE)))]
+
+
+@pytest.mark.parametrize("name", ["convert_krutidev", "convert_auto", "post_process_legacy", "post_process_unicode", "artifact_counts", "scrambled_flag", "garbage_gate", "quality_metrics", "quality_by_label", "clean_none", "batch_summary"])
+def test_texts_are_not_cut_into_lists_of_matches(spark, name):
+    """A list of all matches, a string each, costs a microsecond a character."""
+    assert "regexp_extract_all" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["char_ngrams", "frequency_lexicon", "lexicon_hits", "lexicon_misses"])
+def test_words_are_counted_ahead_of_conversion(spark, name):
+    """The documents are read once, and what is converted comes out of an aggregate."""
+    text = plan(QUERIES[name](spark, SF))
+    lines = text.split("\n")
+    at = next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x)
+    assert text.count("documents.parquet") == 1 and any("HashAggregate" in x for x in lines[at:])
+
+
+def test_scores_join_short_grams_without_a_shuffle(spark):
+    df = spark.createDataFrame([("कखग कख",)], "text string")
+    model = frequency.train_char_lm(frequency.char_ngrams(df, "text")).localCheckpoint()
+    asked = spark.createDataFrame([("कखगघ",), ("",)], "token string")
+    scored = frequency.score_tokens(asked, model)
+    assert "SortMergeJoin" not in plan(scored) and [r["token"] for r in scored.collect()] == ["कखगघ"]
