@@ -1,23 +1,30 @@
-"""Lexicons and the lexicon-guided corrector, as joins over distinct tokens."""
+"""Lexicons and the lexicon-guided corrector: token by token in a worker where the words are literal, else as joins over distinct tokens."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from importlib.resources import files
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
 from ..functions.repair import normalize_token
-from .tokens import apply_fixes, distinct_tokens, tokens_of
+from .resolver import SPLIT, rebuilt, resolver
+from .tokens import FIXED, STATS, apply_fixes, distinct_tokens, tokens_of
 
 #: A word table of at most so many rows is broadcast; a larger one is joined by shuffling.
 MOST_BROADCAST = 1_000_000
 #: Up to so many words are a literal set in the expressions, looked up by hash without any join.
 MOST_LITERAL = 10_000
 MODES = ("none", "safe", "aggressive")
+_FIX = pa.struct([("to", pa.string()), ("reason", pa.string())])
+_EXACT = pa.struct([("norm", pa.string()), ("known", pa.bool_()), ("exact", pa.string())])
+_GROUP = pa.struct([*FIXED, ("words", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
 
 
 @cache
@@ -125,21 +132,25 @@ def _any(token: Column, patterns: tuple[str, ...]) -> Column:
 def resolve_exact(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``tokens`` with known, norm and exact: the first of the exact rules' proposals (the token itself where it is known)."""
     by = list(lexicon.by)
+    if lexicon.closed:
+        words = lexicon.literal
+
+        def run(token: pa.Array) -> pa.Array:
+            exact = resolver(words, 0, 0).exact
+            rows = [exact(t) for t in token.to_pylist()]
+            return pa.array([{"norm": n, "known": k, "exact": e} for n, k, e in rows], _EXACT)
+
+        found = F.arrow_udf(run, "struct<norm:string,known:boolean,exact:string>")(F.col("token"))
+        return tokens.withColumn("_found", found).select(*by, "token", "_found.norm", "_found.known", "_found.exact")
     t = lexicon.flag(tokens.withColumn("norm", normalize_token(F.col("token"))), "token", "known")
     t = lexicon.flag(t.withColumn("swap", swap_j(F.col("token"))), "swap", "swap_known")
     t = lexicon.flag(t.withColumn("plain", F.when(_any(F.col("token"), P.STRUCTURAL) & (F.col("norm") != F.col("token")), F.col("norm"))), "plain", "plain_known")
-    if lexicon.closed:
-        t = t.withColumn("_shorter", F.filter(without_i(F.col("token")), lexicon.contains))
-        t = t.withColumn("shorter", F.when(F.size("_shorter") == 1, F.get("_shorter", F.lit(0))))
-        index = lexicon.words.groupBy(normalize_token(F.col("word")).alias("norm")).agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1 and norm <> ''").drop("n")
-        t = t.join(F.broadcast(index), "norm", "left")
-    else:
-        dropped = lexicon.flag(tokens.select(*by, "token", F.explode(without_i(F.col("token"))).alias("shorter")), "shorter", "ok").where("ok")
-        dropped = dropped.groupBy(*by, "token").agg(F.min("shorter").alias("shorter"), F.count_distinct("shorter").alias("n")).where("n = 1").drop("n")
-        normal = tokens.select(*by, "token", normalize_token(F.col("token")).alias("norm")).where("norm <> ''")
-        normal = lexicon.candidates(normal, ["norm"], normalize_token(F.col("word")).alias("norm"))
-        normal = normal.groupBy(*by, "token").agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1").drop("n")
-        t = t.join(dropped, [*by, "token"], "left").join(normal, [*by, "token"], "left")
+    dropped = lexicon.flag(tokens.select(*by, "token", F.explode(without_i(F.col("token"))).alias("shorter")), "shorter", "ok").where("ok")
+    dropped = dropped.groupBy(*by, "token").agg(F.min("shorter").alias("shorter"), F.count_distinct("shorter").alias("n")).where("n = 1").drop("n")
+    normal = tokens.select(*by, "token", normalize_token(F.col("token")).alias("norm")).where("norm <> ''")
+    normal = lexicon.candidates(normal, ["norm"], normalize_token(F.col("word")).alias("norm"))
+    normal = normal.groupBy(*by, "token").agg(F.min("word").alias("same_norm"), F.count_distinct("word").alias("n")).where("n = 1").drop("n")
+    t = t.join(dropped, [*by, "token"], "left").join(normal, [*by, "token"], "left")
     exact = F.coalesce(F.when(F.col("known"), F.col("token")), F.when(F.col("swap_known"), F.col("swap")), F.col("shorter"), F.when(F.col("plain_known"), F.col("plain")), F.col("same_norm"))
     return t.select(*by, "token", "norm", "known", exact.alias("exact"))
 
@@ -147,6 +158,16 @@ def resolve_exact(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
 def resolve(tokens: DataFrame, lexicon: Lexicon, max_distance: int = 2, min_token_length: int = 4) -> DataFrame:
     """(*by, token, to, reason) for tokens that are considered; ``to`` is null where no word is the one best."""
     by = list(lexicon.by)
+    if lexicon.closed:
+        words = lexicon.literal
+
+        def run(token: pa.Array) -> pa.Array:
+            fix = resolver(words, max_distance, min_token_length).resolve
+            rows = [fix(t) for t in token.to_pylist()]
+            return pa.array([None if x is None else {"to": x[0], "reason": x[1]} for x in rows], _FIX)
+
+        found = F.arrow_udf(run, "struct<to:string,reason:string>")(F.col("token"))
+        return tokens.withColumn("_found", found).where("_found is not null").select(*by, "token", "_found.to", "_found.reason")
     t = resolve_exact(tokens, lexicon)
     token, norm = F.col("token"), F.col("norm")
     t = t.withColumn("considered", (F.length(token) >= min_token_length) & ~F.col("known") & _any(token, P.CONSIDER))
@@ -175,7 +196,67 @@ def resolve(tokens: DataFrame, lexicon: Lexicon, max_distance: int = 2, min_toke
 
 
 def correct(df: DataFrame, text: str, lexicon: Lexicon, max_distance: int = 2, min_token_length: int = 4, out: str = "corrected", stats: str = "stats") -> DataFrame:
-    """``df`` with corrected text and statistics (at most 20 corrections are listed)."""
+    """``df`` with corrected text and statistics (at most 20 corrections are listed).
+
+    A literal lexicon travels to the scan, where each distinct token is resolved; otherwise the vocabulary is joined.
+    """
     by = list(lexicon.by)
+    if lexicon.closed:
+        words = lexicon.literal
+
+        def run(text: pa.Array) -> pa.Array:
+            fix = resolver(words, max_distance, min_token_length).resolve
+            parts = (None if t is None else SPLIT.split(t) for t in text.to_pylist())
+            return pa.array([rebuilt(p, {t: fix(t) for t in p[1::2]} if p else {}, 20) for p in parts], FIXED)
+
+        fixed = F.arrow_udf(run, f"struct<text:string,stats:{STATS}>")(F.col(text))
+        return df.withColumn("_in_place", fixed).withColumn(stats, F.col("_in_place.stats")).withColumn(out, F.col("_in_place.text")).drop("_in_place")
     fixes = resolve(distinct_tokens(df, text, by), lexicon, max_distance, min_token_length)
     return apply_fixes(df, text, fixes, by, out, stats, 20)
+
+
+def groups_in_place(lexicon: Lexicon, by: list[str]) -> bool:
+    """Whether correct_bootstrapped() can do it: general words are literal, and there are groups."""
+    return lexicon.closed and bool(by)
+
+
+def correct_bootstrapped(df: DataFrame, text: str, lexicon: Lexicon, by: list[str], max_distance: int = 2, min_token_length: int = 4, out: str = "corrected", stats: str = "stats") -> DataFrame:
+    """correct() within each group's own contextual_lexicon(): rows are shuffled once, by group, and a group is held at a time.
+
+    Adds context_words, hits_before and hits_after: the number of the group's words, and how many tokens of three letters
+    or more of the text and of the corrected text are words in general or of the group. Rows of no group (a null in
+    ``by``) have the general words only.
+    """
+    words, base = lexicon.literal, df.columns
+
+    def done(groups: list[tuple[tuple, list[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
+        if groups:
+            fix = resolver(words, max_distance, min_token_length).group
+            rows = [r for key, parts in groups for r in fix([t for b in parts for t in b.column(text).to_pylist()], None not in key)]
+            table = pa.Table.from_batches([b for _, parts in groups for b in parts])
+            yield from table.append_column("_in_place", pa.array(rows, _GROUP)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys, ready, start = list(zip(*(batch.column(c).to_pylist() for c in by))), [], 0
+            for i in range(1, len(keys) + 1):
+                if i < len(keys) and keys[i] == keys[start]:
+                    continue
+                part = batch.slice(start, i - start)
+                if held and keys[start] == key:
+                    held.append(part)
+                else:
+                    if held:
+                        ready.append((key, held))
+                    key, held = keys[start], [part]
+                start = i
+            yield from done(ready)
+        if held:
+            yield from done([(key, held)])
+
+    schema = StructType(df.schema.fields + StructType.fromDDL(f"_in_place struct<text:string,stats:{STATS},words:bigint,before:bigint,after:bigint>").fields)
+    got = df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    named = {stats: "_in_place.stats", out: "_in_place.text", "context_words": "_in_place.words", "hits_before": "_in_place.before", "hits_after": "_in_place.after"}
+    kept = [F.col(named.pop(c)).alias(c) if c in named else F.col(c) for c in base]
+    return got.select(*kept, *(F.col(at).alias(n) for n, at in named.items()))

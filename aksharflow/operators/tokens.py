@@ -13,11 +13,11 @@ from ..functions import patterns as P
 #: So many resolved tokens at most are sent to the scan, about 100 bytes each.
 MOST_CARRIED = 500_000
 STATS = "struct<tokens_seen:int,tokens_considered:int,corrected_tokens:int,corrections:array<struct<from:string,to:string,reason:string>>,rule_counts:map<string,int>>"
-_CORRECTION = pa.struct([("from", pa.string()), ("to", pa.string()), ("reason", pa.string())])
-_FIXED = pa.struct(
+CORRECTION = pa.struct([("from", pa.string()), ("to", pa.string()), ("reason", pa.string())])
+FIXED = pa.struct(
     [
         ("text", pa.string()),
-        ("stats", pa.struct([("tokens_seen", pa.int32()), ("tokens_considered", pa.int32()), ("corrected_tokens", pa.int32()), ("corrections", pa.list_(_CORRECTION)), ("rule_counts", pa.map_(pa.string(), pa.int32()))])),
+        ("stats", pa.struct([("tokens_seen", pa.int32()), ("tokens_considered", pa.int32()), ("corrected_tokens", pa.int32()), ("corrections", pa.list_(CORRECTION)), ("rule_counts", pa.map_(pa.string(), pa.int32()))])),
     ]
 )
 
@@ -71,7 +71,7 @@ def _fix_in_place(df: DataFrame, text: str, fixes: list, by: list[str], out: str
 
             fixed = None if t is None else pattern.sub(put, t)
             rows.append({"text": fixed, "stats": {"tokens_seen": seen, "tokens_considered": considered, "corrected_tokens": len(done), "corrections": done[:most], "rule_counts": list(counts.items())}})
-        return pa.array(rows, _FIXED)
+        return pa.array(rows, FIXED)
 
     run = F.arrow_udf(fix, f"struct<text:string,stats:{STATS}>")
     return df.withColumn("_in_place", run(F.col(text), *(F.col(c) for c in by))).withColumn(stats, F.col("_in_place.stats")).withColumn(out, F.col("_in_place.text")).drop("_in_place")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from aksharflow.functions import detect, glyphs, repair
 from aksharflow.functions import patterns as P
-from aksharflow.operators import frequency
+from aksharflow.operators import frequency, lexicon
+from aksharflow.operators.lexicon import Lexicon
+from aksharflow.plans import regression
 from aksharflow.plans.queries import QUERIES
 from helpers import many
 
@@ -66,3 +68,63 @@ def test_scores_join_short_grams_without_a_shuffle(spark):
     asked = spark.createDataFrame([("कखगघ",), ("",)], "token string")
     scored = frequency.score_tokens(asked, model)
     assert "SortMergeJoin" not in plan(scored) and [r["token"] for r in scored.collect()] == ["कखगघ"]
+
+
+def noisy_tokens(n=3000):
+    r, words, out = random.Random(3), sorted(lexicon.default_words()), set()
+    for _ in range(n):
+        w = list(r.choice(words))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w) + 1)
+            w.insert(i, r.choice([w[i - 1], P.I_SIGN, P.HALANT, "ज", P.NUKTA, "े"]))
+        out.add("".join(w))
+    return sorted(out)
+
+
+def test_resolving_in_a_worker_equals_the_joins(spark):
+    df = spark.createDataFrame([(t,) for t in noisy_tokens()], "token string").repartition(2)
+    literal = Lexicon.of(spark)
+    joined = Lexicon(literal.words, size=literal.size)
+    rows = lambda x: sorted(map(tuple, x.collect()), key=str)
+    for distance in (0, 2):
+        assert rows(lexicon.resolve(df, literal, distance, 1)) == rows(lexicon.resolve(df, joined, distance, 1))
+    assert rows(lexicon.resolve_exact(df, literal)) == rows(lexicon.resolve_exact(df, joined))
+
+
+def test_groups_in_place_equal_contextual_joins(spark):
+    r, tokens = random.Random(4), noisy_tokens(600)
+    rows = [(i, i % 20 if i % 15 else None, " ".join(r.choice(tokens if i % 2 else tokens[:60]) for _ in range(25)) if i % 11 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, k int, text string").repartition(2)
+    use = Lexicon.of(spark)
+    context = lexicon.contextual_lexicon(df, "text", use, ["k"])
+    plain = lambda x: sorted((y["i"], y["corrected"], y["stats"].asDict(True)) for y in x.where("k is not null").collect())
+    got = lexicon.correct_bootstrapped(df, "text", use, ["k"], 2)
+    assert plain(got) == plain(lexicon.correct(df, "text", use.within(context, ["k"]), 2))
+    sizes = {y["k"]: y["n"] for y in context.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert {y["k"]: y["context_words"] for y in got.collect()} == {k: sizes.get(k, 0) if k is not None else 0 for _, k, _ in rows}
+
+
+def test_a_group_may_span_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame([(1, "गैंगटॉक")] * 4 + [(2, "गैंगगटॉक")] + [(1, "गैंगगटॉक")] * 5, "k int, text string").repartition(1)
+        got = [(r["k"], r["corrected"]) for r in lexicon.correct_bootstrapped(df, "text", Lexicon.of(spark, {"x"}), ["k"], 0).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    # the noisy form recurs, but a doubled consonant is no reason against a word: it stays one in group 1
+    assert sorted(got) == sorted([(1, "गैंगटॉक")] * 4 + [(2, "गैंगगटॉक")] + [(1, "गैंगगटॉक")] * 5)
+
+
+@pytest.mark.parametrize("name", ["safe_correction", "clean_safe", "regression_report"])
+def test_corrections_shuffle_rows_once_at_most(spark, name):
+    """The scan's own spreading, one shuffle by group, and for pages those of samples and of the summary; no join of tokens."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "levenshtein" not in text and "Generate explode" not in text and text.count("Exchange hashpartitioning") <= {"safe_correction": 0, "clean_safe": 1, "regression_report": 5}[name]
+
+
+def test_means_do_not_depend_on_order(spark):
+    for values in ([0.1, 0.2, 0.3005], [0.3005, 0.2, 0.1], [0.2, 0.3005, 0.1]):
+        rows = [("d", i, True, 1, 0.0, (v,), (v,)) for i, v in enumerate(values)]
+        report = spark.createDataFrame(rows, "path string, page_num int, improved boolean, corrections int, delta double, baseline struct<quality_index:double>, corrected struct<quality_index:double>").coalesce(1)
+        assert {r["avg_baseline"] for r in regression.rollup_report(report).collect()} == {0.2002}
