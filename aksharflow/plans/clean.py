@@ -69,8 +69,8 @@ def clean(
     """``df`` with the cleaning result: a column for each of its fields, ``cleaned_text`` the last.
 
     ``context`` (column ``text`` and ``by``) gives the texts whose recurring clean tokens count as words; with
-    ``bootstrap`` these are the cleaned texts themselves, per group of ``by``. Mode "none" is a projection of the scan;
-    the corrections join the vocabulary, not the texts.
+    ``bootstrap`` these are the cleaned texts themselves, per group of ``by``. Mode "none" is a projection of the scan, and
+    so are corrections by a literal lexicon; with ``bootstrap`` the rows are shuffled once, by group.
     """
     check_mode(mode)
     df = with_encoding(df, text, font)
@@ -78,10 +78,14 @@ def clean(
     df = df.withColumn("_converted", converted(text, font)).withColumn("cleaned_text", repaired("_converted", font)).drop("_converted")
     if mode != "none":
         use = lexicon or lex.Lexicon.of(df.sparkSession)
-        if context is not None or bootstrap:
-            seed, column = (df, "cleaned_text") if context is None else (context, "text")
-            use = use.within(lex.contextual_lexicon(seed, column, use, list(by)), by)
-        df = lex.correct(df, "cleaned_text", use, DISTANCE[mode], out="cleaned_text", stats="correction_stats")
+        if bootstrap and context is None and lex.groups_in_place(use, list(by)):
+            df = lex.correct_bootstrapped(df, "cleaned_text", use, list(by), DISTANCE[mode], out="cleaned_text", stats="correction_stats")
+            df = df.drop("context_words", "hits_before", "hits_after")
+        else:
+            if context is not None or bootstrap:
+                seed, column = (df, "cleaned_text") if context is None else (context, "text")
+                use = use.within(lex.contextual_lexicon(seed, column, use, list(by)), by)
+            df = lex.correct(df, "cleaned_text", use, DISTANCE[mode], out="cleaned_text", stats="correction_stats")
         df = df.withColumn("lexicon_size", F.lit(use.size))
     if symspell is not None:
         df = symspell.correct(df, "cleaned_text", out="cleaned_text", stats="symspell_stats")
