@@ -32,8 +32,8 @@ def extract_pages(
 
     Encoding is judged on a sample of each document's pages up to the third of those that are asked for, from its
     beginning, and joined back by document. ``page_range`` (from 1, clamped) or pages that read_pages() has marked say
-    which are asked for. With ``keep_before`` the text ahead of the
-    second stage is added as text_before. Null and empty pages stay as they are.
+    which are asked for. With ``keep_before`` the text ahead of the second stage is added as text_before, and what
+    correct_bootstrapped() counts where that is used. Null and empty pages stay as they are.
     """
     if second_stage not in ("none", "lexicon"):
         raise ValueError(f"second stage must be none or lexicon: {second_stage!r}")
@@ -56,10 +56,15 @@ def extract_pages(
         out = out.withColumn("text_before", F.coalesce("text", F.lit("")))
     if second_stage == "lexicon":
         use = lexicon or lex.Lexicon.of(pages.sparkSession)
-        if bootstrap:
-            use = use.within(lex.contextual_lexicon(out, "text", use, by), by)
         staged = ~F.col("effective_font_type").isin(*NO_FONT)
-        out = lex.correct(out.withColumn("_before", F.col("text")), "text", use, max_distance, out="_fixed", stats="page_correction_stats")
+        out = out.withColumn("_before", F.col("text"))
+        if bootstrap and lex.groups_in_place(use, by):
+            out = lex.correct_bootstrapped(out, "text", use, by, max_distance, out="_fixed", stats="page_correction_stats")
+            out = out if keep_before else out.drop("context_words", "hits_before", "hits_after")
+        else:
+            if bootstrap:
+                use = use.within(lex.contextual_lexicon(out, "text", use, by), by)
+            out = lex.correct(out, "text", use, max_distance, out="_fixed", stats="page_correction_stats")
         out = out.withColumn("text", F.when(staged, F.col("_fixed")).otherwise(F.col("_before"))).withColumn("page_correction_stats", F.when(staged, F.col("page_correction_stats"))).drop("_before", "_fixed")
     return out.withColumn("second_stage_applied", staged)
 

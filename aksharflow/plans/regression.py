@@ -32,14 +32,20 @@ def page_report(
     done = extract_pages(pages, by, font, overrides=overrides, second_stage=second_stage, lexicon=use, bootstrap=bootstrap, keep_before=True)
     done = done.withColumn("text", F.coalesce("text", F.lit("")))
     context = None
-    if bootstrap:
+    counted = "context_words" in done.columns
+    if counted:
+        done = done.withColumnRenamed("context_words", "contextual_lexicon_size")
+    elif bootstrap:
         context = lex.contextual_lexicon(done, "text_before", use, by)
         sizes = context.groupBy(*by).agg(F.count("*").alias("contextual_lexicon_size"))
         done = done.join(sizes, by, "left")
     else:
         done = done.withColumn("contextual_lexicon_size", F.lit(None).cast("bigint"))
     done = done.withColumn("contextual_lexicon_size", F.coalesce("contextual_lexicon_size", F.lit(0).cast("bigint")))
-    if words is not None or (context is None and use.literal is not None):
+    if counted and words is None:
+        for name, column, hits in (("b", "text_before", F.col("hits_before")), ("a", "text", F.when(F.col("second_stage_applied"), F.col("hits_after")).otherwise(F.col("hits_before")))):
+            done = done.withColumn(name, measure_quality(F.col(column), hits=hits))
+    elif words is not None or (context is None and use.literal is not None):
         known = use.literal if words is None else words
         done = done.withColumn("b", measure_quality(F.col("text_before"), known)).withColumn("a", measure_quality(F.col("text"), known))
     else:
@@ -70,9 +76,11 @@ def _hits(pages: DataFrame, by: list[str], lexicon: lex.Lexicon, context: DataFr
 
 def rollup_report(report: DataFrame, by: list[str] = ("path",)) -> DataFrame:
     """Documents and, with nulls for ``by``, the whole: pages, improved pages, corrections and mean difference."""
+    # these have four digits: as decimals their mean doesn't depend on the order of the rows
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,4)")), 4).cast("double")
     return report.where("page_num is not null").rollup(*by).agg(
-        F.count("*").alias("pages"), F.count_if("improved").alias("improved_pages"), F.sum("corrections").alias("corrections"), F.round(F.avg("delta"), 4).alias("avg_delta"),
-        F.round(F.avg("baseline.quality_index"), 4).alias("avg_baseline"), F.round(F.avg("corrected.quality_index"), 4).alias("avg_corrected"),
+        F.count("*").alias("pages"), F.count_if("improved").alias("improved_pages"), F.sum("corrections").alias("corrections"), mean("delta").alias("avg_delta"),
+        mean("baseline.quality_index").alias("avg_baseline"), mean("corrected.quality_index").alias("avg_corrected"),
     )
 
 
