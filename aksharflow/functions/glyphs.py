@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from . import texts
 from .detect import detect_encoding
+from .repair import post_processed
 
 FONTS = ("krutidev", "chanakya", "walkman_chanakya")
 #: Fonts that store the short i before its consonant cluster.
@@ -130,11 +131,25 @@ def convert(text: Column, font: str | Column = "auto") -> Column:
         return F.arrow_udf(run, "string")(text)
 
     def by_row(text: pa.Array, font: pa.Array) -> pa.Array:
-        done = text
-        for name in FONTS:
-            asked = pc.fill_null(pc.equal(font, name), False)
-            if pc.any(asked).as_py():
-                done = pc.if_else(asked, texts.each(pc.if_else(asked, text, None), substitution(name)), done)
-        return done
+        return _converted(text, font)
 
     return F.arrow_udf(by_row, "string")(text, font)
+
+
+def _converted(text: pa.Array, font: pa.Array) -> pa.Array:
+    done = text
+    for name in FONTS:
+        asked = pc.fill_null(pc.equal(font, name), False)
+        if pc.any(asked).as_py():
+            done = pc.if_else(asked, texts.each(pc.if_else(asked, text, None), substitution(name)), done)
+    return done
+
+
+def convert_and_repair(text: Column, font: Column) -> Column:
+    """convert() and then post_process(), which repairs where the name is that of a font: both in one worker."""
+
+    def run(text: pa.Array, font: pa.Array) -> pa.Array:
+        legacy = pc.fill_null(pc.is_in(font, value_set=pa.array(FONTS)), False)
+        return post_processed(_converted(text, font), legacy)
+
+    return F.arrow_udf(run, "string")(text, font)

@@ -55,15 +55,17 @@ def post_process(text: Column, repair: bool | Column = True) -> Column:
         return F.arrow_udf(run, "string")(text)
 
     def by_row(text: pa.Array, repair: pa.Array) -> pa.Array:
-        # null is no
-        asked = pc.fill_null(repair, False)
-        yes = texts.each(pc.if_else(asked, text, None), chain(True))
-        no = texts.each(pc.if_else(asked, None, text), chain(False))
-        return pc.coalesce(yes, no)
+        return post_processed(text, pc.fill_null(repair, False))  # null is no
 
     return F.arrow_udf(by_row, "string")(text, repair)
 
 
+def post_processed(text: pa.Array, repair: pa.Array) -> pa.Array:
+    """The chain over an array, by flags without nulls."""
+    yes = texts.each(pc.if_else(repair, text, None), chain(True))
+    return pc.coalesce(yes, texts.each(pc.if_else(repair, None, text), chain(False)))
+
+
 def post_process_chain(text: Column, repair: bool | Column = True) -> Column:
     """The same as built-in expressions, step by step; with a column for ``repair``, the step that it switches is guarded row by row."""
     optional = set(steps(True)) - set(steps(False))

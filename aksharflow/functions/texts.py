@@ -21,6 +21,8 @@ from . import patterns as P
 #: White space of patterns.WS, in the syntax of Python.
 _SPACES = " \t-\r\x1c-\x1f\x85\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WS = f"[{_SPACES}]"
+#: Rows of a batch that are Python objects at once.
+SLICE = 256
 #: Characters of the texts that are rewritten at once.
 _CHUNK = 1 << 18
 
@@ -57,13 +59,22 @@ def rewrite(texts: list[str], run: Callable[[str, str], str]) -> Iterator[str]:
         yield from done()
 
 
+def slices(text: pa.Array) -> Iterator[pa.Array]:
+    """Parts of so many rows that few texts are held as Python objects at once; one part at least."""
+    for i in range(0, max(len(text), 1), SLICE):
+        yield text.slice(i, SLICE)
+
+
 def each(text: pa.Array, run: Callable[[str, str], str]) -> pa.Array:
     """Rewrites the texts that are not null."""
-    rows = text.to_pylist()
-    at = [i for i, t in enumerate(rows) if t is not None]
-    for i, x in zip(at, rewrite([rows[i] for i in at], run)):
-        rows[i] = x
-    return pa.array(rows, pa.string())
+    out = []
+    for part in slices(text):
+        rows = part.to_pylist()
+        at = [i for i, t in enumerate(rows) if t is not None]
+        for i, x in zip(at, rewrite([rows[i] for i in at], run)):
+            rows[i] = x
+        out.append(pa.array(rows, pa.string()))
+    return pa.concat_arrays(out)
 
 
 # conversion
@@ -263,13 +274,15 @@ def measured(text: Column, classes: dict[str, str], regexes: dict[str, str], nam
     asked = (tuple(classes.items()), tuple(regexes.items()), words, tuple((literals or {}).items()))
 
     def run(text: pa.Array) -> pa.Array:
-        rows = text.to_pylist()
-        at = [i for i, t in enumerate(rows) if t is not None]
-        counts, found = _measure(*asked)([rows[i] for i in at]), []
-        for n in names:
-            column = np.zeros(len(rows), np.int32)
-            column[at] = counts[n]
-            found.append(pa.array(column))
+        columns, start = {n: np.zeros(len(text), np.int32) for n in names}, 0
+        for part in slices(text):
+            rows = part.to_pylist()
+            at = [i for i, t in enumerate(rows) if t is not None]
+            counts = _measure(*asked)([rows[i] for i in at])
+            for n, column in columns.items():
+                column[[start + i for i in at]] = counts[n]
+            start += len(rows)
+        found = [pa.array(c) for c in columns.values()]
         return pa.StructArray.from_arrays(found, fields=[pa.field(n, pa.int32()) for n in names], mask=pc.is_null(text))
 
     return F.arrow_udf(run, f"struct<{','.join(f'{n}:int' for n in names)}>")(text)

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
 from ..functions.repair import normalize_token
+from ..functions.texts import SLICE, slices
 from .resolver import SPLIT, rebuilt, resolver
 from .tokens import FIXED, STATS, apply_fixes, distinct_tokens, tokens_of
 
@@ -206,8 +207,11 @@ def correct(df: DataFrame, text: str, lexicon: Lexicon, max_distance: int = 2, m
 
         def run(text: pa.Array) -> pa.Array:
             fix = resolver(words, max_distance, min_token_length).resolve
-            parts = (None if t is None else SPLIT.split(t) for t in text.to_pylist())
-            return pa.array([rebuilt(p, {t: fix(t) for t in p[1::2]} if p else {}, 20) for p in parts], FIXED)
+            out = []
+            for some in slices(text):
+                parts = (None if t is None else SPLIT.split(t) for t in some.to_pylist())
+                out.append(pa.array([rebuilt(p, {t: fix(t) for t in p[1::2]} if p else {}, 20) for p in parts], FIXED))
+            return pa.concat_arrays(out)
 
         fixed = F.arrow_udf(run, f"struct<text:string,stats:{STATS}>")(F.col(text))
         return df.withColumn("_in_place", fixed).withColumn(stats, F.col("_in_place.stats")).withColumn(out, F.col("_in_place.text")).drop("_in_place")
@@ -230,10 +234,11 @@ def correct_bootstrapped(df: DataFrame, text: str, lexicon: Lexicon, by: list[st
     words, base = lexicon.literal, df.columns
 
     def done(groups: list[tuple[tuple, list[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
-        if groups:
-            fix = resolver(words, max_distance, min_token_length).group
-            rows = [r for key, parts in groups for r in fix([t for b in parts for t in b.column(text).to_pylist()], None not in key)]
-            table = pa.Table.from_batches([b for _, parts in groups for b in parts])
+        fix = resolver(words, max_distance, min_token_length).group
+        for i in range(0, len(groups), SLICE):
+            some = groups[i : i + SLICE]
+            rows = [r for key, parts in some for r in fix([t for b in parts for t in b.column(text).to_pylist()], None not in key)]
+            table = pa.Table.from_batches([b for _, parts in some for b in parts])
             yield from table.append_column("_in_place", pa.array(rows, _GROUP)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import artifact_total, detect_encoding, detect_scrambled
-from ..functions.glyphs import FONTS, convert
+from ..functions.glyphs import FONTS, convert, convert_and_repair
 from ..functions.repair import post_process
 from ..operators import lexicon as lex
 from ..operators.symspell import SymSpell
@@ -42,6 +42,15 @@ def repaired(text: str, font: str) -> Column:
     return post_process(F.col(text), F.col("effective_font_type").isin(*FONTS) if font == "auto" else font in FONTS)
 
 
+def cleaned(text: str, font: str) -> Column:
+    """converted() and repaired(), by one worker where the font is a column."""
+    if font == "auto":
+        return convert_and_repair(F.col(text), F.col("effective_font_type"))
+    if font == "none":
+        return F.col(text)
+    return post_process(converted(text, font), font in FONTS)
+
+
 def stages(text: str, mode: str, symspell: bool = False) -> Column:
     """What was done to the text, in order; nothing is done to an empty one but the optional speller."""
     effective, some = F.col("effective_font_type"), F.length(text) > 0
@@ -75,7 +84,7 @@ def clean(
     check_mode(mode)
     df = with_encoding(df, text, font)
     df = df.withColumn("artifact_count_before", artifact_total(F.col(text)))
-    df = df.withColumn("_converted", converted(text, font)).withColumn("cleaned_text", repaired("_converted", font)).drop("_converted")
+    df = df.withColumn("cleaned_text", cleaned(text, font))
     if mode != "none":
         use = lexicon or lex.Lexicon.of(df.sparkSession)
         if bootstrap and context is None and lex.groups_in_place(use, list(by)):

@@ -10,7 +10,7 @@ from ..functions.repair import post_process
 from ..operators import lexicon as lex
 from ..operators.overrides import apply_overrides
 from ..operators.ranges import mark_pages, sample_text
-from .clean import converted, repaired, with_encoding
+from .clean import cleaned, converted, with_encoding
 
 NO_FONT = ("unknown", "none")
 
@@ -44,9 +44,7 @@ def extract_pages(
     sample = sample_text(pages.where("sampled"), by, most_pages=None) if marked else sample_text(pages, by)
     judged = with_encoding(sample, "sample", font).drop("sample")
     out = pages.where("wanted").drop("wanted", "sampled") if marked else pages
-    out = out.join(judged, by, "left").withColumn("text", converted("raw", font))
-    if post:
-        out = out.withColumn("text", repaired("text", font))
+    out = out.join(judged, by, "left").withColumn("text", cleaned("raw", font) if post else converted("raw", font))
     if overrides is not None:
         out = apply_overrides(out, overrides)
     else:
@@ -96,7 +94,7 @@ def compare(pages: DataFrame, text: str = "raw", convert_text: bool = True) -> D
     e = detect_encoding(F.col(text))
     out = pages.withColumn("_e", e).withColumn("_latin", latin_chunk(F.col(text)) & ~F.col("_e.font").isin("krutidev", "chanakya"))
     out = with_encoding(out, text, "auto")
-    fixed = out.withColumn("_c", converted(text, "auto")).withColumn("_c", repaired("_c", "auto")) if convert_text else out.withColumn("_c", F.col(text))
+    fixed = out.withColumn("_c", cleaned(text, "auto") if convert_text else F.col(text))
     fixed = fixed.withColumn("corrected", F.when(F.col("_latin"), F.col(text)).otherwise(F.col("_c"))).withColumn("has_encoding_issues", F.col("has_encoding_issues") & ~F.col("_latin"))
     summary = summarize_extraction(F.col(text), F.col("corrected"), F.col("has_encoding_issues"), F.col("detected_font_type"), F.lit(convert_text), F.col("_latin"))
     return fixed.withColumn("comparison", summary).drop("_e", "_c", "_latin")
